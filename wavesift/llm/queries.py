@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm import embeddings, packing, quality_classifier, quality_rules, secrets, simhash, substrings, token_files
+from wavesift.llm import embeddings, katz, packing, quality_classifier, quality_rules, secrets, simhash, substrings, token_files
 from wavesift.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
