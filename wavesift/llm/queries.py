@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm import embeddings, katz, packing, quality_classifier, quality_rules, secrets, simhash, substrings, token_files
+from wavesift.llm import embeddings, katz, packing, quality_classifier, quality_rules, secrets, sentencepieces, simhash, substrings, token_files
 from wavesift.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = sentencepieces.encode_decode(docs, _vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
