@@ -103,3 +103,23 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     both = F.concat(F.col("_base"), F.coalesce(F.col("_more"), F.array().cast(SPAN)))
     spans = F.array_sort(both, lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["rank"] - y["rank"])).cast("int"))
     return joined.withColumn("spans", spans).drop("_base", "_more", "_key", "_row")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
+    """docs with every span of its texts replaced by mark, overlapping ones by one mark; all
+    columns as they are, but n_chars, where there is one, is the new length of a changed text."""
+    found = scan(docs, **how)
+    state = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["stop"]).alias("at"), s["out"].alias("out"))).otherwise(
+            F.struct(x["stop"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"))
+        ),
+        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text") - s["at"])),
+    )
+    text = F.when(F.size("spans") > 0, state).otherwise(F.col("text"))
+    out = found.withColumn("_text", text)
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
