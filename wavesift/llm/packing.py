@@ -84,7 +84,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
         encoder, packer = ChunkEncoder.of(vocabulary), Packer(size, windows, min_cut)
         part, n, doc = TaskContext.get().partitionId() << 32, 0, 0
         held: dict[int, list] = {}  # doc number: doc_id, its bytes, ids not yet emitted
-        end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
         weight = 0
 
@@ -114,11 +113,15 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
             if not names:
                 names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "part", "whole"]
                 kinds = [b.schema.field(0).type, *[pa.int64()] * 5, pa.binary(), pa.int64(), pa.bool_()]
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                for i, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    held[doc] = [i, x + end, len(x) // 4 + 1]
-                    for window in packer.add(doc, len(x) // 4 + 1):
+            for k in range(0, b.num_rows, 16384):
+                some = b.slice(k, 16384)
+                flat, lengths = encoder.encode(some.column(1))
+                ends = np.cumsum(lengths)
+                flat = np.insert(flat, ends, end_id).astype("<u4").tobytes()
+                ends += np.arange(1, len(ends) + 1)
+                for i, n_ids, stop in zip(some.column(0).to_pylist(), (lengths + 1).tolist(), ends.tolist(), strict=True):
+                    held[doc] = [i, flat[4 * (stop - n_ids) : 4 * stop], n_ids]
+                    for window in packer.add(doc, n_ids):
                         emit(window, True)
                     doc += 1
                     if weight > 1_000_000:

@@ -33,6 +33,8 @@ BLOCK, PERCENTILE = 4096, 95.0
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
     """Rows of numbers under 2 ** width as rows of bytes."""
     kind = np.dtype("<u2" if width <= 16 else "<u4")
+    if width == 8 * kind.itemsize:
+        return low.astype(kind).view(np.uint8).reshape(len(low), -1)
     bits = np.unpackbits(low.astype(kind).view(np.uint8).reshape(*low.shape, kind.itemsize), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :width].reshape(len(low), -1), axis=1, bitorder="little")
 
@@ -41,6 +43,8 @@ def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
     kind = np.dtype("<u2" if width <= 16 else "<u4")
     if not width:
         return np.zeros((len(packed), n), dtype=np.uint32)
+    if width == 8 * kind.itemsize:
+        return np.ascontiguousarray(packed).view(kind).astype(np.uint32)
     bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(len(packed), n, width)
     full = np.zeros((len(packed), n, kind.itemsize * 8), dtype=np.uint8)
     full[:, :, :width] = bits
@@ -124,17 +128,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
         part, seq = TaskContext.get().partitionId(), 0
         fs, folder = FileSystem.from_uri(path)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        lengths: list[int] = []
         ids: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
             name = f"{part:07d}-{seq:05d}.pfor"
             fs.create_dir(folder, recursive=True)
-            whole = np.frombuffer(b"".join(held), "<u4")
+            whole = np.concatenate(held)
             trial = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(trial) as f:
-                f.write(encode_file(whole, ids, np.array([len(x) // 4 for x in held])))
+                f.write(encode_file(whole, ids, np.array(lengths)))
             fs.move(trial, f"{folder}/{name}")
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "n_docs": len(ids), "n_ids": len(whole)}], schema=shape)
 
@@ -142,15 +146,23 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         encoder = ChunkEncoder.of(vocabulary)
         size = 0
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                some = b.slice(k, 512)
-                for i, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    held.append(x + end)
-                    size += len(x) // 4 + 1
+            for k in range(0, b.num_rows, 16384):
+                some = b.slice(k, 16384)
+                flat, n = encoder.encode(some.column(1))
+                ends = np.cumsum(n)
+                flat = np.insert(flat, ends, end_id)
+                at = 0  # documents of this slice that are in files or held already
+                for stop in [*np.flatnonzero(np.diff((size + ends + np.arange(1, len(n) + 1)) // file_ids, prepend=size // file_ids)).tolist(), None]:
+                    stop = len(n) if stop is None else stop + 1
+                    first, last = (ends[at - 1] + at if at else 0), (ends[stop - 1] + stop if stop else 0)
+                    ids += some.column(0).slice(at, stop - at).to_pylist()
+                    lengths += (n[at:stop] + 1).tolist()
+                    held.append(flat[first:last])
+                    size += int(last - first)
                     if size >= file_ids:
                         yield flush()
-                        seq, size, held, ids = seq + 1, 0, [], []
+                        seq, size, held, lengths, ids = seq + 1, 0, [], [], []
+                    at = stop
         if ids:
             yield flush()
 

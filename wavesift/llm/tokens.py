@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[str, ChunkEncoder] = {}  # noqa: F821  one per worker process and file
 
@@ -14,22 +17,28 @@ class ChunkEncoder:
     """Encodes texts as Tokenizer.encode(text, add_special_tokens=False) does.
 
     Both kinds of vocabulary used here split a text before a single space that a non-space
-    follows, whatever stands before it, and neither merges nor normalises across that point.
-    So a text is cut there, each distinct chunk is encoded once, and the ids of a text are
-    those of its chunks. A text where a space is followed by white space or nothing is encoded
-    whole. The strings of special tokens count as ordinary text. The cache is emptied when it
-    holds `limit` chunks, so memory stays bounded.
+    follows, whatever stands before it, and before a single newline between non-spaces; neither
+    merges nor normalises across such a point. So a text is cut there, each distinct chunk is encoded once, and the ids of a text are those of its chunks. A text
+    with a zero, or where a space is followed by white space or nothing, is encoded whole. The strings of
+    special tokens count as ordinary text. Distinct chunks are found and looked up by Arrow;
+    the store of known ones is Arrow and NumPy arrays, and when it holds `limit` chunks it goes
+    back to the half that came first, where the common ones are, so memory stays bounded.
     """
 
-    WHOLE = re.compile(r" (?=\s|\Z)")
+    WHOLE = r" ([\s\v\p{Z}\x{85}\x1c-\x1f]|\z)|\x00"  # RE2
+    LINE = r"([^\s\v\p{Z}\x{85}\x1c-\x1f])\n([^\s\v\p{Z}\x{85}\x1c-\x1f])"
+    LED = "\0"  # before the keys of chunks without a space before them
+    SLICE = 30_000_000  # bytes of text at once
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.first, self.rest = limit, {}, {}
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.limit, self.keys = limit, pa.array([], pa.string())
+        self.ids, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     @classmethod
     def of(cls, vocabulary: str) -> ChunkEncoder:
@@ -37,31 +46,92 @@ class ChunkEncoder:
             _LOADED[vocabulary] = cls(vocabulary)
         return _LOADED[vocabulary]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null: none."""
-        out, at, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size > 1_000_000:
-                out += self._some(texts[at : i + 1])
-                at, size = i + 1, 0
-        return out + self._some(texts[at:])
-
-    def _some(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > self.limit:
-            self.first, self.rest = {}, {}
-        parts = [None if not t or self.WHOLE.search(t) else t.split(" ") for t in texts]
-        first = list({p[0] for p in parts if p}.difference(self.first))
-        rest: set[str] = set()
-        for p in parts:
-            if p:
-                rest.update(p[1:])
-        rest = rest.difference(self.rest)
-        self.first.update(zip(first, self._encode(first), strict=True))
-        self.rest.update(zip(rest, self._encode([" " + c for c in rest]), strict=True))
-        get, join = self.rest.__getitem__, b"".join
-        return [join((self.first[p[0]], *map(get, p[1:]))) if p else self._encode([t])[0] if t else b"" for t, p in zip(texts, parts, strict=True)]
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, keys: pa.Array, values: list) -> None:
+        sizes = np.fromiter(map(len, values), np.int32, len(values))
+        ids = np.fromiter(chain.from_iterable(values), np.uint32, int(sizes.sum()))
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
+
+    def _trim(self) -> None:
+        n = self.limit // 2
+        self.keys, self.start, self.size = pa.concat_arrays([self.keys.slice(0, n)]), self.start[:n].copy(), self.size[:n].copy()
+        self.ids = self.ids[: int((self.start + self.size).max(initial=0))].copy()
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """The places of distinct chunks in the store; those that it lacks are encoded."""
+        if self.lowers:
+            coded = pc.if_else(pc.string_is_ascii(keys), pc.ascii_lower(keys), keys).dictionary_encode()
+            return self._find(coded.dictionary)[coded.indices.to_numpy()]
+        return self._find(keys)
+
+    def _find(self, keys: pa.Array) -> np.ndarray:
+        at = pc.index_in(keys, value_set=self.keys)
+        lack = keys.filter(at.is_null())
+        if not len(lack):
+            return at.to_numpy()
+        self._store(lack, self._raw([k[1:] if k[:1] == self.LED else " " + k for k in lack.to_pylist()]))
+        out = at.fill_null(0).to_numpy().copy()
+        out[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.keys) - len(lack), len(self.keys))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, the number of ids of each); a null text has none."""
+        texts = pc.fill_null(texts, "")
+        size = np.asarray(pc.binary_length(texts)).cumsum()
+        out, at = [(np.empty(0, np.uint32), np.empty(0, np.int64))], 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.SLICE, side="right")))
+            gc.disable()  # nothing here makes cycles, and there are many objects to visit
+            try:
+                out.append(self._some(texts.slice(at, end - at)))
+            finally:
+                gc.enable()
+            at = end
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > self.limit:
+            self._trim()
+        whole = pc.match_substring_regex(texts, self.WHOLE).to_numpy(zero_copy_only=False)
+        lines = pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), self.LINE, "\\1 \0\n\\2")
+        cut = pc.split_pattern(lines, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        flat, first = cut.flatten(), offsets[:-1]
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        used = np.zeros(len(coded.dictionary), bool)  # words that only stand first aren't led by a space
+        used[codes[later]] = True
+        led = pc.binary_join_element_wise(self.LED, flat.take(pa.array(first)), "").dictionary_encode()
+        n = int(used.sum())
+        found = self._places(pa.concat_arrays([coded.dictionary.filter(pa.array(used)), led.dictionary]))
+        place = np.zeros(len(used), found.dtype)
+        place[used] = found[:n]
+        at = place[codes]
+        at[first] = found[n:][led.indices.to_numpy()]
+        sizes = self.size[at]
+        full = sizes > 0
+        starts, n = self.start[at[full]], sizes[full]
+        ends = np.cumsum(n, dtype=np.int32)
+        steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)  # from id to id: 1, or a jump to the next chunk
+        steps[ends - n] = starts - np.concatenate([np.zeros(1, np.int32), (starts + n)[:-1] - 1])
+        ids = self.ids[np.cumsum(steps, dtype=np.int32)]
+        lengths = np.add.reduceat(sizes, first).astype(np.int64)
+        if whole.any():
+            ids, lengths = self._put_whole(texts, np.flatnonzero(whole), ids, lengths)
+        return ids, lengths
+
+    def _put_whole(self, texts: pa.Array, whole: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(lengths)
+        parts, last = [], 0
+        for i, x in zip(whole.tolist(), self._raw(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            end = int(ends[i] - lengths[i])
+            parts += [ids[last:end], np.array(x, np.uint32)]
+            last, lengths[i] = int(ends[i]), len(x)
+        return np.concatenate([*parts, ids[last:]]), lengths
