@@ -73,5 +73,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _secrets_sql(reach: int = 200) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(k, secrets.ROLE[k], p, g, n) for k, (p, g, n) in secrets.BASE.items()] + [(k, r, p, g, n) for k, (r, p, g, n) in secrets.WEAK.items()]
+    pats = ", ".join(f"({quote(k)}, {i}, {quote(r)}, {quote(p)}, {g}, {n})" for i, (k, r, p, g, n) in enumerate(rows))
+    base = len(secrets.BASE)
+    return f"""WITH pats(kind, rank, role, pat, grp, least) AS (VALUES {pats}),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT rid, pats.*, regexp_extract_all(t, pat) AS f, regexp_split_to_array(t, pat) AS g FROM d, pats WHERE regexp_matches(t, pat)),
+        e AS (SELECT rid, kind, rank, role, pat, grp, least, unnest(f) AS s, unnest(list_transform(g[1:len(f)], lambda x: length(x))) AS gap, unnest(range(1, len(f) + 1)) AS i FROM m),
+        p AS (SELECT *, sum(gap + length(s)) OVER (PARTITION BY rid, rank ORDER BY i) AS stop FROM e),
+        h AS (SELECT rid, kind, rank, role, CAST(stop - length(s) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p
+            WHERE length(CASE grp WHEN 0 THEN s WHEN 1 THEN regexp_extract(s, pat, 1) ELSE regexp_extract(s, pat, 2) END) >= least),
+        base AS (SELECT * FROM h WHERE rank < {base}),
+        weak AS (SELECT * FROM h WHERE rank >= {base} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = h.rid AND b.start < h.stop AND h.start < b.stop)),
+        parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+        found AS (SELECT rid, kind, rank, start, stop FROM base UNION ALL SELECT rid, kind, rank, start, stop FROM weak w WHERE EXISTS (
+            SELECT 1 FROM parts b WHERE b.rid = w.rid AND b.role <> w.role AND b.start < w.stop + {reach} AND w.start < b.stop + {reach} AND (b.stop <= w.start OR w.stop <= b.start)))
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {base}), '')) AS base_sha256,
+            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+        FROM d LEFT JOIN found USING (rid) GROUP BY d.rid, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, count hashes that DuckDB lacks, or call a library: tests compare them
+    with brute force."""
+    return {"op8_secrets": _secrets_sql()}
