@@ -28,9 +28,9 @@ class ChunkEncoder:
     WHOLE = r" ([\s\v\p{Z}\x{85}\x1c-\x1f]|\z)|\x00"  # RE2
     LINE = r"([^\s\v\p{Z}\x{85}\x1c-\x1f])\n([^\s\v\p{Z}\x{85}\x1c-\x1f])"
     LED = "\0"  # before the keys of chunks without a space before them
-    SLICE = 30_000_000  # bytes of text at once
+    SLICE = 12_000_000  # bytes of text at once
 
-    def __init__(self, vocabulary: str, limit: int = 2_000_000):
+    def __init__(self, vocabulary: str, limit: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,6 +90,7 @@ class ChunkEncoder:
                 out.append(self._some(texts.slice(at, end - at)))
             finally:
                 gc.enable()
+                pa.default_memory_pool().release_unused()
             at = end
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
