@@ -29,6 +29,7 @@ class ChunkEncoder:
     LINE = r"([^\s\v\p{Z}\x{85}\x1c-\x1f])\n([^\s\v\p{Z}\x{85}\x1c-\x1f])"
     LED = "\0"  # before the keys of chunks without a space before them
     SLICE = 12_000_000  # bytes of text at once
+    BATCH = 8192  # chunks encoded at once
 
     def __init__(self, vocabulary: str, limit: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,7 +48,10 @@ class ChunkEncoder:
         return _LOADED[vocabulary]
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for k in range(0, len(texts), self.BATCH):  # an encoding is many times the size of its ids
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + self.BATCH], add_special_tokens=False)]
+        return out
 
     def _store(self, keys: pa.Array, values: list) -> None:
         sizes = np.fromiter(map(len, values), np.int32, len(values))
