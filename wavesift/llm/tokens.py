@@ -84,7 +84,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, the number of ids of each); a null text has none."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         size = np.asarray(pc.binary_length(texts)).cumsum()
         out, at = [(np.empty(0, np.uint32), np.empty(0, np.int64))], 0
         while at < len(texts):
