@@ -1,0 +1,168 @@
+"""Near copies by shingle similarity: MinHash bands find candidates, exact Jaccard decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from wavesift.llm.common import LOWER, WORD, discard, materialize
+from wavesift.llm.components import connected_components
+
+SEED = 42
+BANDS, ROWS = 16, 5
+_DRAW = np.random.default_rng(SEED)
+_MULTIPLY = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_PLACE = _DRAW.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64 bits of hash of each word, with A to Z as a to z."""
+    w = WORD.findall((text or "").translate(LOWER))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in w), dtype=np.uint64, count=len(w))
+
+
+def shingles(h: np.ndarray, words: int = 5) -> np.ndarray:
+    """The distinct hashes, ascending, of runs of `words` words; of a shorter text, of all its words."""
+    k = min(words, len(h))
+    if not k:
+        return h
+    s = np.zeros(len(h) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        s += h[i : len(h) - k + 1 + i] * _PLACE[i]
+    s = (s ^ s >> np.uint64(32)) * _PLACE[-1]
+    return np.unique(s ^ s >> np.uint64(29))
+
+
+def bands_of(s: np.ndarray) -> list[int]:
+    """One hash for each band of a shingle set: of its ROWS least values, each in another order."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(s), 512):
+        np.minimum(low, ((s[i : i + 512, None] ^ _FLIP) * _MULTIPLY).min(0), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in rows]
+
+
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _node, the hash of its words, and _bands; none where a text has no word."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, bands = [], []
+            for t in b.column(at).to_pylist():
+                h = word_hashes(t)
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED) - (1 << 63))
+                bands.append(bands_of(shingles(h, words)) if len(h) else [])
+            cols = [*b.columns, pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_node", "_bands"])
+
+    more = [StructField("_node", LongType()), StructField("_bands", ArrayType(LongType()))]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of each set to the first one of its component: sets are joined by chains of pairs
+    of a Jaccard similarity of `least` or more, each one computed exactly."""
+    size = np.array([len(s) for s in sets])
+    alive = np.ones(len(sets), dtype=bool)
+    out = []
+    for root in range(len(sets)):
+        if not alive[root]:
+            continue
+        alive[root] = False
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            fit = np.flatnonzero(alive & (size >= least * size[x]) & (size[x] >= least * size))
+            if not len(fit):
+                continue
+            flat = np.concatenate([sets[i] for i in fit])
+            place = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+            starts = np.concatenate([[0], np.cumsum(size[fit])[:-1]])
+            both = np.add.reduceat((sets[x][place] == flat).astype(np.int64), starts)
+            got = fit[both / (size[fit] + size[x] - both) >= least].tolist()
+            alive[got] = False
+            out += [(root, i) for i in got]
+            todo += got
+    return out
+
+
+def _verified(pieces: DataFrame, least: float) -> DataFrame:
+    """(a, b) of rows (component, duo, node, s) that are sorted by group."""
+
+    def emit(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        links = similar_links(sets, least)
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+        for b in batches:
+            group = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            flat, ends = b.column(3).values.to_numpy().view(np.uint64), b.column(3).offsets.to_numpy()
+            for i, (k, node) in enumerate(zip(group, b.column(2).to_pylist(), strict=True)):
+                if k != key:
+                    yield from emit(nodes, sets)
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(flat[ends[i] : ends[i + 1]])
+        yield from emit(nodes, sets)
+
+    return pieces.select("component", "duo", "node", "s").mapInArrow(run, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, least: float = 0.8, words: int = 5, chunk: int = 1024) -> DataFrame:
+    """Of each component of texts that chains of pairs connect, whose sets of `words`-word
+    shingles have a Jaccard similarity of `least` or more, the row with the smallest doc_id.
+
+    A pair at 0.8 becomes a candidate with a chance of 1 - (1 - 0.8^5)^16 = 0.998, a closer one
+    with more; whatever becomes a candidate is compared exactly. Each text goes once to the
+    group of all it may be linked with by chains of candidates; a group of over `chunk` texts
+    is dealt out, so that every two of its chunks meet and no task holds more than two of them.
+    Equal texts, those without a word among them, are one class before anything is paired.
+    Exactly one row of each component stays, also where ids repeat or are null (null comes last).
+    """
+    marked = _marked(docs, words).withColumn("_row", F.monotonically_increasing_id())
+    marked = materialize(marked, "similar")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row"))
+    classes = marked.groupBy(F.col("_node").alias("node")).agg(F.min(first).alias("low"), F.first("_bands").alias("bands"))
+    classes = materialize(classes, "similar-classes")
+    near = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    near = near.select("node", F.min("node").over(Window.partitionBy("band", "bucket")).alias("m")).where("node != m")
+    group = materialize(connected_components(near.select(F.col("m").alias("a"), F.col("node").alias("b"))), "similar-groups")
+    sized = group.join(group.groupBy("component").agg(F.ceil(F.count("*") / F.lit(chunk / 2)).cast("int").alias("parts")), "component")
+    sized = sized.select("node", F.col("component").alias("_group"), F.when(F.col("parts") > 2, F.col("parts")).otherwise(1).alias("_parts"))
+    roster = classes.select("node", F.col("low.row").alias("_row")).join(sized, "node", "left").withColumnRenamed("node", "_name")
+    # one row of each class goes on, so texts are dealt once; those in no group are done
+    ones = materialize(marked.drop("_node", "_bands").join(roster, "_row"), "similar-ones")
+    discard(marked)
+    texts = ones.where("_group is not null").select("text", F.col("_group").alias("component"), F.col("_parts").alias("parts"), F.col("_name").alias("node"))
+    texts = texts.select("text", "component", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                c = b.slice(k, 512)
+                s = [shingles(word_hashes(t), words).view(np.int64) for t in c.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array(s, pa.list_(pa.int64()))], [*c.schema.names[1:], "s"])
+
+    sets = texts.mapInArrow(cut, "component long, parts int, part int, node long, s array<long>")
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("part")) * F.col("parts") + F.greatest(o, F.col("part")))
+    pieces = sets.select("component", F.explode(other).alias("duo"), "node", "s")
+    pieces = pieces.repartition("component", "duo").sortWithinPartitions("component", "duo")
+    comp = connected_components(_verified(pieces, least))
+    named = classes.select("node", "low").join(group.select("node"), "node").join(comp, "node", "left")
+    keep = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("low").alias("low"))
+    keep = materialize(keep.select(F.col("low.row").alias("_row")), "similar-keep")
+    discard(classes)
+    discard(group)
+    kept = ones.where("_group is not null").join(keep, "_row", "left_semi")
+    return ones.where("_group is null").select(*docs.columns).unionByName(kept.select(*docs.columns))
