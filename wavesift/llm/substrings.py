@@ -1,5 +1,5 @@
-"""Substring dedup: sliding runs of sentences are hashed and joined over all documents, and
-sentences under any run but its first occurrence are removed."""
+"""Substring dedup: sliding runs of sentences, and runs of words wherever they start, are hashed
+and joined over all documents, and what lies under any run but its first occurrence is removed."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ from wavesift.llm.common import WORD
 
 SENTENCE = re.compile(r"(?:[^\n.!?]+|[.!?]+(?![\s.!?]|\Z))*[.!?]*(?:\s+|\Z)")
 SPAN = "first int, last int, h long, h2 int"
+#: Of every RUN_STARTS word runs in a row one is hashed: 34 + 18 - 1 = 51 words hold one at least.
+RUN_WORDS, RUN_STARTS = 34, 18
+_PLACE = np.random.default_rng(42).integers(0, 1 << 63, (2, RUN_WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -54,9 +57,31 @@ def runs(parts: list[str], min_words: int = 25, long_words: int = 50) -> list[tu
     return out
 
 
+def word_runs(text: str | None) -> np.ndarray:
+    """Rows (first word, -1, hash, more hash) of a text's runs of RUN_WORDS words that have the
+    least hash of RUN_STARTS runs in a row. The choice depends on the words alone, so of any 51
+    words that occur twice the same run is hashed in both places, whatever stands around it."""
+    w = WORD.findall(text or "")
+    n = len(w) - RUN_WORDS + 1
+    if n < RUN_STARTS:
+        return np.empty((0, 4), dtype=np.int64)
+    x = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in w), dtype=np.uint64, count=len(w))
+    h, h2 = np.zeros((2, n), dtype=np.uint64)
+    for i in range(RUN_WORDS):
+        h += x[i : n + i] * _PLACE[0, i]
+        h2 += x[i : n + i] * _PLACE[1, i]
+    h = (h ^ h >> np.uint64(32)) * _PLACE[0, 0]
+    h ^= h >> np.uint64(29)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, RUN_STARTS).argmin(1) + np.arange(n - RUN_STARTS + 1))
+    out = np.full((len(at), 4), -1, dtype=np.int64)
+    out[:, 0], out[:, 2], out[:, 3] = at, h[at].view(np.int64), (h2[at] >> np.uint64(32)).astype(np.int64) - (1 << 31)
+    return out
+
+
 def spans_of(docs: DataFrame, **how) -> DataFrame:
     """(d, t, first, last, h, h2, salt) of docs (d, t, text): the runs of each text, with 96
-    bits of hash. salt is 0 but for runs that occur before, by (d, t, first), in the same
+    bits of hash; last is -1 where first is a word and not a sentence. Runs of words count
+    once a text: only those in another text are repeats of them. salt is 0 but for runs that occur before, by (d, t, first), in the same
     batch of rows: these are repeats whatever the other batches hold, and so very common runs
     send on a row for each batch under their hash, and not one for each document."""
 
@@ -64,19 +89,21 @@ def spans_of(docs: DataFrame, **how) -> DataFrame:
         for b in batches:
             parts = []
             for k in range(0, b.num_rows, 512):
-                found = [runs(sentences(t), **how) for t in b.column(2).slice(k, 512).to_pylist()]
-                flat = np.array([x for f in found for x in f], dtype=np.int64).reshape(-1, 4)
+                texts = b.column(2).slice(k, 512).to_pylist()
+                found = [np.r_[np.array(runs(sentences(t), **how), dtype=np.int64).reshape(-1, 4), word_runs(t)] for t in texts]
+                flat = np.concatenate(found)
                 parts.append(np.c_[np.repeat(np.arange(k, k + len(found)), [len(f) for f in found]), flat])
             if not parts:
                 continue
             at, first, last, h, h2 = np.concatenate(parts).T
             d, t = (b.column(i).to_numpy()[at] for i in (0, 1))
-            order = np.lexsort((first, t, d, h2, h))
+            word, place = last < 0, np.where(last < 0, 0, first)
+            order = np.lexsort((place, t, d, word, h2, h))
             new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]  # first place of the run
             again = np.zeros(len(h), dtype=bool)
-            again[order] = (d[order] != d[lead]) | (t[order] != t[lead]) | (first[order] != first[lead])
+            again[order] = (d[order] != d[lead]) | (t[order] != t[lead]) | (place[order] != place[lead])
             salt = np.where(again, 1 + np.arange(len(h)), 0)
             cols = [pa.array(c).cast(k) for c, k in zip((d, t, first, last, h, h2, salt), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, ["d", "t", "first", "last", "h", "h2", "salt"])
@@ -87,7 +114,7 @@ def spans_of(docs: DataFrame, **how) -> DataFrame:
 
 def repeats(docs: DataFrame, **how) -> DataFrame:
     """(d, t, cuts) of docs (d, t, text): the runs of a text that occur before it or before in it."""
-    w = Window.partitionBy("h", "h2", "salt").orderBy("d", "t", "first")
+    w = Window.partitionBy("h", "h2", F.col("last") < 0, "salt").orderBy("d", "t", F.when(F.col("last") < 0, 0).otherwise(F.col("first")))
     hits = spans_of(docs, **how).withColumn("n", F.rank().over(w)).where("n > 1 or salt > 0")
     return hits.groupBy("d", "t").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
 
@@ -97,6 +124,10 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     a run that occurs before, in an earlier place of the same text or in a text that comes
     first by doc_id (rows of one id by the hash of their text, null ids last).
 
+    Of a passage that starts or ends inside a sentence, the words under hashed runs of words
+    go from the sentences that stay: all but at most 17 words at each end. n_removed counts
+    sentences that lose words, too.
+
     Every row stays, if with an empty text; null stays null with no sentences. Rows that repeat
     id and text are one occurrence and are cut alike. Other columns, whatever their names but
     n_sentences and n_removed, stay as they are.
@@ -108,18 +139,44 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     return _cut(joined.select(*[docs[c] for c in docs.columns], "_cuts"), docs.columns.index("text"))
 
 
+def _without(parts: list[str], drop: set[int], words: set[int]) -> tuple[str, int]:
+    """The text without the sentences `drop` and the words `words`, each with the space after
+    it, and how many sentences lost anything."""
+    out, lost, at = [], len(drop), 0
+    for i, p in enumerate(parts):
+        if not words:
+            out.append("" if i in drop else p)
+            continue
+        found = list(WORD.finditer(p))
+        gone = {k for k in range(len(found)) if at + k in words}
+        at += len(found)
+        if i in drop:
+            continue
+        if gone:
+            lost += 1
+            ends = [m.start() for m in found[1:]] + [len(p)]
+            end = "\n" if len(found) - 1 in gone and p.endswith("\n") else ""
+            p = p[: found[0].start()] + "".join(p[m.start() : e] for k, (m, e) in enumerate(zip(found, ends, strict=True)) if k not in gone) + end
+        out.append(p)
+    return "".join(out), lost
+
+
 def _cut(rows: DataFrame, at: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, gone = [], [], []
             for t, cuts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 parts = sentences(t)
-                drop = set()
+                drop, words = set(), set()
                 for c in cuts or ():
-                    drop.update(range(c["first"], c["last"] + 1))
-                texts.append("".join(p for i, p in enumerate(parts) if i not in drop) if drop else t)
+                    if c["last"] < 0:
+                        words.update(range(c["first"], c["first"] + RUN_WORDS))
+                    else:
+                        drop.update(range(c["first"], c["last"] + 1))
+                left, lost = _without(parts, drop, words)
+                texts.append(left if lost else t)
                 n.append(len(parts))
-                gone.append(len(drop))
+                gone.append(lost)
             cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "n_sentences", "n_removed"])
