@@ -69,7 +69,7 @@ def test_every_close_pair_shares_a_block():
         assert any(not flip & m for m in masks)
 
 
-@pytest.mark.parametrize("chunk", [4, 2048])
+@pytest.mark.parametrize("chunk", [8, 2048])
 def test_links_of_a_crowded_neighbourhood(spark, chunk):
     """One dense ball of fingerprints, chains that only connect over others, and strangers."""
     rng = random.Random(3)
@@ -81,7 +81,7 @@ def test_links_of_a_crowded_neighbourhood(spark, chunk):
     df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fingerprint long")
     at = {simhash._signed(v): i for i, v in enumerate(values)}
     links = [(at[r.a], at[r.b]) for r in simhash.link_fingerprints(df, chunk=chunk).collect()]
-    assert all((values[a] ^ values[b]).bit_count() <= 64 for a, b in links)
+    assert all(want[a] == want[b] for a, b in links)
     assert closure(len(values), links) == want
 
 
@@ -103,16 +103,7 @@ def test_simhash_components(spark):
     want = sorted((str(d[0]), simhash._signed(x), str(low.get(c))) for d, x, c in zip(docs, f, comp, strict=True))
     got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.simhash_components(df).collect())
     assert got == want
-    kept = simhash.drop_near_copies(df)
-    assert kept.columns == df.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == sorted([*low.values(), None], key=str)
-    assert simhash.simhash_components(df.limit(0)).count() == 0 and simhash.drop_near_copies(df.limit(0)).count() == 0
-
-
-def test_repeated_rows_of_near_copies_leave_one(spark):
-    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
-    assert [tuple(r) for r in simhash.drop_near_copies(df).collect()] == [(1, "a b c d")]
+    assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
 # substrings
