@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm import packing, quality_classifier, secrets, similar, substrings
+from wavesift.llm import packing, quality_classifier, secrets, simhash, substrings
 from wavesift.llm.common import materialize, table
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, five-word shingles with a Jaccard similarity of 0.8 or more,
     the one with the smallest doc_id stays."""
-    return similar.drop_similar(docs, least=0.8, words=5)
+    return simhash.drop_near_copies(docs, least=0.8, words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
