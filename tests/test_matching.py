@@ -200,3 +200,20 @@ def test_chunks_and_halos(spark):
         for r in rows:
             assert r.vals == [float(x) for x in range(r.start, min(r.start + size + more, 101))]
         assert sorted(r.start for r in rows) == list(range(1, 101, size))
+
+
+@pytest.mark.parametrize("listed", [64, 0])
+def test_only_chunks_with_candidates_are_verified(spark, monkeypatch, listed):
+    """Candidates in few of many chunks, windows over chunk ends: as brute force."""
+    monkeypatch.setattr(verify, "LISTED", listed)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=5000).cumsum()
+    table = spark.createDataFrame([("s", i + 1, float(v)) for i, v in enumerate(x)], "series_id string, pos long, value double")
+    q = x[990:1230]
+    starts = [1, 95, 100, 101, 991, 1000, 3333, 4761]
+    cand = spark.createDataFrame([("s", s) for s in starts], "series_id string, start long")
+    got = {r.pos: r.dist for r in verify.check(table, cand, q, Query("RSM-ED", 1e6), size=100).collect()}
+    want = {s: float(np.sqrt(((x[s - 1 : s + 239] - q) ** 2).sum())) for s in starts}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+    plan = verify.check(table, cand, q, Query("RSM-ED", 1.0), size=100)._jdf.queryExecution().toString()
+    assert "left_semi" in plan.lower().replace(" ", "_") or "LeftSemi" in plan or listed

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavesift.__main__ import main
 from wavesift.functions import windows
@@ -129,3 +130,23 @@ def test_command_line(spark, tmp_path, capsys):
     main(["index", str(tmp_path / "g"), str(tmp_path / "i")])
     main(["query", str(tmp_path / "g"), str(tmp_path / "i"), "RSM-DTW", "300", "60", "1"])
     assert "300,0.0" in capsys.readouterr().out
+
+
+def test_numbered_positions_are_those_of_the_rows(spark, tmp_path):
+    """Every position once on a written table of many rows, also when columns are pruned."""
+    n = 1_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k")).withColumn("v", F.xxhash64("k").cast("double")).repartition(7)
+    got = series.numbered(df, "v", ["k"])
+    got.write.parquet(str(tmp_path / "numbered"))
+    back = spark.read.parquet(str(tmp_path / "numbered"))
+    assert back.agg(F.count_distinct("pos").alias("d"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).first() == (n, 1, n)
+    want = df.orderBy("k").limit(50).select("v").collect()
+    assert [r.value for r in back.where("pos <= 50").orderBy("pos").collect()] == [r.v for r in want]
+
+
+def test_csv_files_of_unequal_size_follow_by_name(spark, tmp_path):
+    for name, values in (("a", [1, 2]), ("b", list(range(100, 3000))), ("c", [7, 8])):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{v}\n" for v in values))
+    got = series.from_csv(spark, str(tmp_path))
+    assert [r.value for r in got.orderBy("pos").collect()] == [1, 2, *range(100, 3000), 7, 8]
+    assert [r.pos for r in got.orderBy("pos").collect()] == list(range(1, 2905))

@@ -63,13 +63,33 @@ def scan(series: DataFrame, q: np.ndarray, query: Query, pieces: int = 0, size:
     return rows.mapInArrow(_kernel(len(q), _answers(q, query, pieces), ["series_id", "pos", "dist"], False), "series_id string, pos long, dist double")
 
 
+#: Candidate chunks up to this number are listed on the driver, so that only their ranges of
+#: positions are read: 64 x 16,384 starts at most.
+LISTED = 64
+
+
 def check(series: DataFrame, candidates: DataFrame, q: np.ndarray, query: Query, size: int = SCAN) -> DataFrame:
-    """ANSWER among candidates (series_id, start): only chunks that have some are brought to a
-    kernel, and there only the candidates' windows are computed."""
+    """ANSWER among candidates (series_id, start): only points of chunks that have some, and of
+    the chunks that their windows reach into, are read or shuffled, and a kernel computes only
+    the candidates' windows. For few chunks the ranges are filters of the series' own scan; for
+    many, a semi join on chunks cuts the series before it is shuffled."""
     q = np.asarray(q, dtype=float)
     chunk = F.floor((F.col("start") - 1) / size).cast("long")
     wanted = candidates.select("series_id", chunk.alias("chunk"), "start").groupBy("series_id", "chunk").agg(F.collect_set("start").alias("starts"))
-    rows = chunks_for(series, len(q), size).join(wanted, ["series_id", "chunk"]).select("series_id", "start", "vals", "starts")
+    reach = -(-(len(q) - 1) // size)
+    found = wanted.limit(LISTED + 1).collect()
+    if len(found) <= LISTED:
+        shape = "series_id string, chunk long, starts array<long>"
+        wanted = F.broadcast(candidates.sparkSession.createDataFrame(found, shape).coalesce(1))
+        near = F.lit(False)
+        for r in found:
+            last = max(max(r.starts) + len(q) - 1, (r.chunk + 1) * size)
+            near |= (F.col("series_id") == r.series_id) & F.col("pos").between(r.chunk * size + 1, last)
+        own = series.where(near)
+    else:
+        need = wanted.select("series_id", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + reach)).alias("_chunk")).distinct()
+        own = series.withColumn("_chunk", F.floor((F.col("pos") - 1) / size).cast("long")).join(need, ["series_id", "_chunk"], "left_semi").drop("_chunk")
+    rows = chunks_for(own, len(q), size).join(wanted, ["series_id", "chunk"]).select("series_id", "start", "vals", "starts")
     return rows.mapInArrow(_kernel(len(q), _answers(q, query, 0), ["series_id", "pos", "dist"], True), "series_id string, pos long, dist double")
 
 

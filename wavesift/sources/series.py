@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavesift.model import CHUNK
+from wavesift.sources.scratch import materialize
 
 
 def from_table(df: DataFrame, value: str | Column, pos: str | Column, series: str | Column | None = None) -> DataFrame:
@@ -23,17 +24,18 @@ def from_table(df: DataFrame, value: str | Column, pos: str | Column, series: st
 def numbered(df: DataFrame, value: str, order: list[str], series: str | None = None) -> DataFrame:
     """A series of a table that has only an order. With no series column the whole table is
     one series: it is range-partitioned by the order, numbered inside each partition and
-    shifted by the sizes of those before, so no task sees it all."""
+    shifted by the sizes of those before, so no task sees it all. The numbered partitions are
+    written once: sizes and rows are those of the same partitions, since ranges are sampled
+    and a second shuffle could draw others."""
     if series:
         w = Window.partitionBy(series).orderBy(*order)
         return from_table(df.withColumn("_pos", F.row_number().over(w)), value, "_pos", series)
-    parted = df.select(value, *order).repartitionByRange(*order).sortWithinPartitions(*order)
-    local = parted.withColumn("_id", F.monotonically_increasing_id())
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = local.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row a partition
+    parted = df.select(F.col(value).cast("double").alias("_value"), *order).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    local = materialize(parted.select("_value", F.spark_partition_id().alias("_part"), at.alias("_at")), "numbered")
+    sizes = local.groupBy("_part").agg(F.count("*").alias("n"))  # a row a partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.select("_part", before.alias("_before"))
-    return from_table(local.join(shift, part == F.col("_part")), value, F.col("_before") + at + 1)
+    return from_table(local.join(sizes.select("_part", before.alias("_before")), "_part"), "_value", F.col("_before") + F.col("_at") + 1)
 
 
 def running_sum(series: DataFrame, chunk: int = 8192) -> DataFrame:
@@ -106,9 +108,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_csv(spark: SparkSession, path: str, series: str = "s") -> DataFrame:
-    """One value a line, in the order of the lines of the files in the order of their names."""
-    rows = spark.read.schema("value double").csv(path).withColumn("_id", F.monotonically_increasing_id())
-    return numbered(rows, "value", ["_id"]).withColumn("series_id", F.lit(series))
+    """One value a line, in the order of the lines of the files in the order of their names.
+
+    Spark deals files and their blocks to tasks by size, so a line's place is its file, its
+    block there and, since a task reads a block in order, a number that grows within the task."""
+    rows = spark.read.schema("value double").csv(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return numbered(rows.withColumn("_id", F.monotonically_increasing_id()), "value", ["_file", "_start", "_id"]).withColumn("series_id", F.lit(series))
 
 
 # raw files of big-endian float64 or float32
@@ -131,9 +137,14 @@ def from_binary(spark: SparkSession, path: str, kind: str = ">f8") -> DataFrame:
 
 def to_binary_rows(series: DataFrame, size: int = CHUNK, kind: str = ">f8") -> DataFrame:
     """(series_id, key, data): chunks as blobs under 13-digit keys, as key-value stores have them."""
-    encode = F.udf(lambda v: np.array(v, kind).tobytes(), "binary")  # an export, once a chunk
-    chunks = to_chunks(series, size)
-    return chunks.select("series_id", F.lpad(F.col("start").cast("string"), 13, "0").alias("key"), encode("vals").alias("data"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, ends = b.column(2).values.to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
+            data = [v[i:j].astype(kind).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["series_id", "key", "data"])
+
+    chunks = to_chunks(series, size).select("series_id", F.lpad(F.col("start").cast("string"), 13, "0").alias("key"), "vals")
+    return chunks.mapInArrow(run, "series_id string, key string, data binary")
 
 
 def export_query(values: np.ndarray, eps: float) -> bytes:
