@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavesift.llm.common import materialize
+from wavesift.llm.common import materialize, sums_before
 from wavesift.llm.tokens import ChunkEncoder
 
 SHAPE = "doc_id {0}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -113,13 +113,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
             if not names:
                 names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "part", "whole"]
                 kinds = [b.schema.field(0).type, *[pa.int64()] * 5, pa.binary(), pa.int64(), pa.bool_()]
-            for k in range(0, b.num_rows, 16384):
-                some = b.slice(k, 16384)
-                flat, lengths = encoder.encode(some.column(1))
+            for begin, end, flat, lengths in encoder.slices(b.column(1)):
                 ends = np.cumsum(lengths)
                 flat = np.insert(flat, ends, end_id).astype("<u4").tobytes()
                 ends += np.arange(1, len(ends) + 1)
-                for i, n_ids, stop in zip(some.column(0).to_pylist(), (lengths + 1).tolist(), ends.tolist(), strict=True):
+                for i, n_ids, stop in zip(b.column(0).slice(begin, end - begin).to_pylist(), (lengths + 1).tolist(), ends.tolist(), strict=True):
                     held[doc] = [i, flat[4 * (stop - n_ids) : 4 * stop], n_ids]
                     for window in packer.add(doc, n_ids):
                         emit(window, True)
@@ -137,8 +135,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
     done, left = packed.where("whole").select(out), packed.where("not whole")
 
     parts = left.groupBy("part").agg(F.sum("length").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = materialize(parts.select("part", "n", base.alias("base")), "left")  # a row a partition
+    parts = materialize(sums_before(parts, "part", ["part"], "n", "base"), "left")  # a row a partition
     total = parts.agg(F.sum("n")).first()[0] or 0
     ends, at = [], total // size * size
     while at < total:  # the powers of two that make up the rest, largest first

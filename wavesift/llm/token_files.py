@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.llm.common import materialize, scratch_path
+from wavesift.llm.common import materialize, scratch_path, sums_before
 from wavesift.llm.tokens import ChunkEncoder
 
 MAGIC = b"WSPFOR01"
@@ -116,8 +116,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     manifest (file, part, seq, n_docs, n_ids), which is also written, under path/manifest.
 
     Rows of equal id follow in the order of a hash of their text. Null texts are empty, an
-    empty text gives its end id alone, an empty table no file. A file gets its name only when
-    it is whole, and a repeated task writes the same files again.
+    empty text gives its end id alone, an empty table no file. Every attempt of a task writes
+    files of its own name, and only those in the manifest, which Spark commits, are read: a
+    repeated or lost task changes nothing. Nothing is renamed.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = docs.select("doc_id", "text").repartitionByRange(max(1, -(-total // part_bytes)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -128,34 +129,31 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
         part, seq = TaskContext.get().partitionId(), 0
         fs, folder = FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
         held: list[np.ndarray] = []
         lengths: list[int] = []
         ids: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
-            name = f"{part:07d}-{seq:05d}.pfor"
-            fs.create_dir(folder, recursive=True)
+            name = f"{part:07d}-{seq:05d}-{TaskContext.get().taskAttemptId()}.pfor"
             whole = np.concatenate(held)
-            trial = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(trial) as f:
+            with fs.open_output_stream(f"{folder}/{name}") as f:
                 f.write(encode_file(whole, ids, np.array(lengths)))
-            fs.move(trial, f"{folder}/{name}")
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "n_docs": len(ids), "n_ids": len(whole)}], schema=shape)
 
         shape = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         encoder = ChunkEncoder.of(vocabulary)
         size = 0
         for b in batches:
-            for k in range(0, b.num_rows, 16384):
-                some = b.slice(k, 16384)
-                flat, n = encoder.encode(some.column(1))
+            for begin, end, flat, n in encoder.slices(b.column(1)):
+                own = b.column(0).slice(begin, end - begin)
                 ends = np.cumsum(n)
                 flat = np.insert(flat, ends, end_id)
                 at = 0  # documents of this slice that are in files or held already
                 for stop in [*np.flatnonzero(np.diff((size + ends + np.arange(1, len(n) + 1)) // file_ids, prepend=size // file_ids)).tolist(), None]:
                     stop = len(n) if stop is None else stop + 1
                     first, last = (ends[at - 1] + at if at else 0), (ends[stop - 1] + stop if stop else 0)
-                    ids += some.column(0).slice(at, stop - at).to_pylist()
+                    ids += own.slice(at, stop - at).to_pylist()
                     lengths += (n[at:stop] + 1).tolist()
                     held.append(flat[first:last])
                     size += int(last - first)
@@ -174,8 +172,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in the manifest's files: start counts
     the ids of all documents before it, ids are little-endian unsigned 32-bit integers."""
     spark = manifest.sparkSession
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    named = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))  # a row a file
+    named = sums_before(manifest.select("file", "part", "seq", "n_ids"), "part", ["part", "seq"], "n_ids", "base").select("file", "base")
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(path)

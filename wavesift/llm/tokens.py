@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,27 +19,31 @@ class ChunkEncoder:
 
     Both kinds of vocabulary used here split a text before a single space that a non-space
     follows, whatever stands before it, and before a single newline between non-spaces; neither
-    merges nor normalises across such a point. So a text is cut there, each distinct chunk is encoded once, and the ids of a text are those of its chunks. A text
-    with a zero, or where a space is followed by white space or nothing, is encoded whole. The strings of
-    special tokens count as ordinary text. Distinct chunks are found and looked up by Arrow;
-    the store of known ones is Arrow and NumPy arrays, and when it holds `limit` chunks it goes
-    back to the half that came first, where the common ones are, so memory stays bounded.
+    merges nor normalises across such a point. So a text is cut there, each distinct chunk is
+    encoded once, and the ids of a text are those of its chunks. A text with a zero, or where a
+    space is followed by white space or nothing, is encoded whole. The strings of special
+    tokens count as ordinary text. Texts are taken in slices of SLICE bytes (or one longer
+    text). Distinct chunks of a slice are found and looked up by Arrow; the store of known ones
+    is Arrow and NumPy arrays. Between slices, chunks of over LONG bytes leave it, and when it
+    holds over `limit` bytes it goes back to the half that came first, where the common ones
+    are: so memory is bounded in bytes, whatever the texts are.
     """
 
     WHOLE = r" ([\s\v\p{Z}\x{85}\x1c-\x1f]|\z)|\x00"  # RE2
     LINE = r"([^\s\v\p{Z}\x{85}\x1c-\x1f])\n([^\s\v\p{Z}\x{85}\x1c-\x1f])"
     LED = "\0"  # before the keys of chunks without a space before them
-    SLICE = 12_000_000  # bytes of text at once
-    BATCH = 8192  # chunks encoded at once
+    SLICE = 6_000_000  # bytes of text at once
+    BATCH = 8192, 500_000  # chunks encoded at once, and their code points
+    LONG = 64
 
-    def __init__(self, vocabulary: str, limit: int = 1_500_000):
+    def __init__(self, vocabulary: str, limit: int = 40_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.limit, self.keys = limit, pa.array([], pa.string())
+        self.limit, self.keys, self.kept = limit, pa.array([], pa.string()), 0
         self.ids, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     @classmethod
@@ -49,8 +54,15 @@ class ChunkEncoder:
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
-        for k in range(0, len(texts), self.BATCH):  # an encoding is many times the size of its ids
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + self.BATCH], add_special_tokens=False)]
+        most, points = self.BATCH  # an encoding is many times the size of its ids
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and end - at < most and size + len(texts[end]) <= points:
+                size += len(texts[end])
+                end += 1
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            at = end
         return out
 
     def _store(self, keys: pa.Array, values: list) -> None:
@@ -61,9 +73,16 @@ class ChunkEncoder:
         self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
 
     def _trim(self) -> None:
-        n = self.limit // 2
-        self.keys, self.start, self.size = pa.concat_arrays([self.keys.slice(0, n)]), self.start[:n].copy(), self.size[:n].copy()
-        self.ids = self.ids[: int((self.start + self.size).max(initial=0))].copy()
+        """Long chunks that came since the last call go, and half of all if there are too many."""
+        stay = np.ones(len(self.keys), bool)
+        stay[self.kept :] = np.asarray(pc.binary_length(self.keys.slice(self.kept))) <= self.LONG
+        if self.keys.nbytes + self.ids.nbytes + self.size.nbytes + self.start.nbytes > self.limit:
+            stay[len(stay) // 2 :] = False
+        if not stay.all():
+            self.ids = self.ids[np.repeat(stay, self.size)]
+            self.keys, self.size = self.keys.filter(pa.array(stay)), self.size[stay]
+            self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.kept = len(self.keys)
 
     def _places(self, keys: pa.Array) -> np.ndarray:
         """The places of distinct chunks in the store; those that it lacks are encoded."""
@@ -77,30 +96,35 @@ class ChunkEncoder:
         lack = keys.filter(at.is_null())
         if not len(lack):
             return at.to_numpy()
-        self._store(lack, self._raw([k[1:] if k[:1] == self.LED else " " + k for k in lack.to_pylist()]))
+        plain = pc.if_else(pc.starts_with(lack, self.LED), pc.utf8_slice_codeunits(lack, 1), pc.binary_join_element_wise(" ", lack, ""))
+        self._store(lack, self._raw(plain.to_pylist()))
         out = at.fill_null(0).to_numpy().copy()
         out[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.keys) - len(lack), len(self.keys))
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of all texts, the number of ids of each); a null text has none."""
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, ids, numbers): of texts first .. end - 1, the ids of all and the number of
+        ids of each; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        size = np.asarray(pc.binary_length(texts)).cumsum()
-        out, at = [(np.empty(0, np.uint32), np.empty(0, np.int64))], 0
+        size, at = np.asarray(pc.binary_length(texts)).cumsum(dtype=np.int64), 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.SLICE, side="right")))
             gc.disable()  # nothing here makes cycles, and there are many objects to visit
             try:
-                out.append(self._some(texts.slice(at, end - at)))
+                ids, n = self._some(texts.slice(at, end - at))
+                self._trim()
             finally:
                 gc.enable()
                 pa.default_memory_pool().release_unused()
+            yield at, end, ids, n
             at = end
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and the number of ids of each, at once: for few texts."""
+        out = [(np.empty(0, np.uint32), np.empty(0, np.int64)), *((ids, n) for _, _, ids, n in self.slices(texts))]
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > self.limit:
-            self._trim()
         whole = pc.match_substring_regex(texts, self.WHOLE).to_numpy(zero_copy_only=False)
         lines = pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), self.LINE, "\\1 \0\n\\2")
         cut = pc.split_pattern(lines, " ")
