@@ -1,6 +1,7 @@
 """Tokenizers, token files, packing, pieces, secrets, the language model and the pipeline."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -119,16 +120,29 @@ def test_sentencepieces():
     lib = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(P.path("piece_bpe_32k.model"), "rb").read()))
     rng = random.Random(3)
     texts = ["", "  ", " a b ", "a\nb\n\n c", "▁x", "é ﬁ ½ \U0001f44d 日本語", "\x00", "word " * 500] + ["".join(rng.choice(" \n\taethé,.▁日\U0001f44dx") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    known = {p: (s, i) for p, (_, s, i) in zip(pieces.automaton.keys(), pieces.automaton.values(), strict=True)}
     score = lambda ids: sum(pieces.sp.get_score(i) for i in ids if i not in pieces.value)
     for t in texts:
         a, b = pieces.encode(t), lib.encode(t)
         assert score(a) == pytest.approx(score(b), rel=1e-4) and sum(i in pieces.value for i in a) == sum(i in pieces.value for i in b)
         assert pieces.decode(a) == lib.decode(a)
+        assert pieces.search(lib.normalize(t))[1] == a == slow_pieces(pieces, known, lib.normalize(t))
         if "▁" not in t:
             assert pieces.decode(a) == t
     assert pieces.encode(None) == []
 
 
+def slow_pieces(pieces, known, text):
+    """Ids by a table over all substrings: of equal scores the longest last piece."""
+    best = [(0.0, [])]
+    for end in range(1, len(text) + 1):
+        tried = [(best[k][0] + known[text[k:end]][0], best[k][1] + [known[text[k:end]][1]]) for k in range(max(0, end - 64), end) if text[k:end] in known]
+        if text[end - 1] not in known:
+            tried.append((best[-1][0] + pieces.worst, best[-1][1] + [pieces.byte[b] for b in text[end - 1].encode()]))
+        best.append(max(tried, key=lambda x: x[0]))  # the first of equal ones
+    return best[-1][1]
+
+
 def as_unigram(proto):
     """The model file with the same pieces and scores, as a unigram model."""
 
@@ -226,36 +240,40 @@ def test_secret_digest_of_no_spans():
 # language model
 
 
-def slow_katz(rows):
+def slow_katz(rows, order):
     toks = [(i, t, [*WORD.findall((t or "").translate(LOWER)), "</s>"], zlib.crc32(str("" if i is None else i).encode()) % 10 == 0) for i, t in rows]
-    uni, bi, n = collections.Counter(), collections.Counter(), 0
-    for _, _, w, held in toks:
-        if not held:
-            n += 1
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w, strict=True))
-    total, spare = sum(uni.values()), 0.01
-    d1, d2 = (katz.discounts([sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)]) for c in (uni, bi))
-    cut = lambda d, c: d[min(c, katz.TOP + 1)] * c
-    unknown = 1 - sum(cut(d1, c) for c in uni.values()) / (total + spare)
-    p1 = lambda w: cut(d1, uni[w]) / (total + spare) if uni[w] else unknown
-    ch = lambda h: n if h == "<s>" else uni[h]
-    after = collections.defaultdict(dict)
-    for (h, w), c in bi.items():
-        after[h][w] = c
-
+    grams = lambda w, n: [tuple((["<s>"] * (n - 1) + w)[k : k + n]) for k in range(len(w))]
+    count = {n: collections.Counter(g for _, _, w, held in toks if not held for g in grams(w, n)) for n in range(1, order + 1)}
+    total, spare, texts = sum(count[1].values()), 0.01, sum(not held for *_, held in toks)
+    d = {n: katz.discounts([sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)]) for n, c in count.items()}
+    cut = lambda n, c: d[n][min(c, katz.TOP + 1)] * c
+    unknown = 1 - sum(cut(1, c) for c in count[1].values()) / (total + spare)
+    after = {n: collections.defaultdict(list) for n in range(2, order + 1)}
+    for n in after:
+        for g in count[n]:
+            after[n][g[:-1]].append(g[-1])
+    of = lambda h: texts if set(h) == {"<s>"} else count[len(h)][h]
+
+    @functools.cache
     def alpha(h):
-        if not ch(h):
-            return 1.0
-        return (1 - sum(cut(d2, c) for c in after[h].values()) / (ch(h) + spare)) / (1 - sum(map(p1, after[h])))
-
-    p2 = lambda h, w: cut(d2, bi[h, w]) / (ch(h) + spare) if bi[h, w] else alpha(h) * p1(w)
-    for h in [*after][:30]:
-        assert sum(p2(h, w) for w in uni) + alpha(h) * unknown == pytest.approx(1)
+        n = len(h) + 1
+        seen = sum(cut(n, count[n][*h, w]) for w in after[n][h]) / (of(h) + spare)
+        return (1 - seen) / (1 - sum(prob(h[1:], w) for w in after[n][h])) if of(h) else 1.0
+
+    def prob(h, w):
+        n = len(h) + 1
+        if n == 1:
+            return cut(1, count[1][w,]) / (total + spare) if count[1][w,] else unknown
+        return cut(n, count[n][*h, w]) / (of(h) + spare) if count[n][*h, w] else alpha(h) * prob(h[1:], w)
+
+    for n in after:
+        for h in after[n]:
+            assert sum(prob(h, w) for (w,) in count[1]) + prob(h, "never seen") == pytest.approx(1)
     out = []
     for i, _, w, held in toks:
-        base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w)
-        out.append((str(i), held, len(w), sum(uni[x] > 0 for x in w), total, round(base, 6), round(sum(math.log10(p2(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True)), 6)))
+        base = sum(math.log10((count[1][x,] + 0.1) / (total + 0.1 * (len(count[1]) + 1))) for x in w)
+        score = sum(math.log10(prob(g[:-1], g[-1])) for g in grams(w, order))
+        out.append((str(i), held, len(w), sum(count[1][x,] > 0 for x in w), total, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
@@ -273,9 +291,8 @@ def test_katz(spark):
     texts = [" ".join(rng.choice("a b c d e f g H the of É".split()) + rng.choice(["", "", "1"]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, "", "new words only", "a " * 3000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (7, texts[7]), (7, texts[7])]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
-    want = slow_katz(rows)
-    for how in ({}, dict(batch_tokens=200, part_tokens=500)):
-        close(katz_rows(df, **how), want)
+    for how in ({}, dict(batch_tokens=200, part_tokens=500), dict(order=2), dict(order=4, batch_tokens=700)):
+        close(katz_rows(df, **how), slow_katz(rows, how.get("order", 3)))
     assert katz.katz_scores(df.limit(0)).count() == 0
     held = df.where("doc_id is null")
     assert len(katz_rows(held)) == 1

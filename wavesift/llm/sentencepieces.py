@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import gc
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
+from math import inf
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -57,26 +58,34 @@ class Pieces:
         return _LOADED[model]
 
     def search(self, text: str) -> tuple[float, list[int]]:
-        """(score, ids) of the best segmentation of a normalised text, in one pass: at each
-        place the automaton's outputs, the pieces that end there, relax the best score."""
-        n = len(text)
-        best = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        hits: list[list] = [[] for _ in range(n + 1)]
-        for last, hit in self.automaton.iter(text):
-            hits[last + 1].append(hit)
-        for end in range(1, n + 1):
-            single = False
-            for size, score, i in sorted(hits[end], reverse=True):
-                single |= size == 1
-                if best[end - size] + score > best[end]:
-                    best[end], back[end] = best[end - size] + score, (size, i)
-            if not single and best[end - 1] + self.worst > best[end]:  # an unknown character
-                best[end], back[end] = best[end - 1] + self.worst, (1, self.unknown)
+        """(score, ids) of the best segmentation of a normalised text, in one pass: while the
+        automaton runs, its outputs at each place, the pieces that end there, relax the best
+        score. Nothing but that, and the last piece there, is held for a character."""
+        n, worst, unknown = len(text), self.worst, self.unknown
+        best = array("d", [-inf]) * (n + 1)
+        sizes, pieces = array("i", [0]) * (n + 1), array("i", [unknown]) * (n + 1)
+        best[0], at, single = 0.0, 0, True  # single: whether a piece of one character ends at `at`
+
+        def settle() -> None:
+            """An unknown character, where no piece covers the one before this place."""
+            if not single and best[at - 1] + worst > best[at]:
+                best[at], sizes[at], pieces[at] = best[at - 1] + worst, 1, unknown
+
+        for last, (size, score, i) in self.automaton.iter(text):  # at a place, the longest first
+            while at <= last:
+                settle()
+                at, single = at + 1, False
+            single |= size == 1
+            if best[at - size] + score > best[at]:
+                best[at], sizes[at], pieces[at] = best[at - size] + score, size, i
+        while at < n:
+            settle()
+            at, single = at + 1, False
+        settle()
         ids: list[int] = []
         at = n
         while at:
-            size, i = back[at]
+            size, i = sizes[at], pieces[at]
             if i == self.unknown and self.byte:
                 ids += [self.byte[b] for b in reversed(text[at - size : at].encode())]
             elif not (i == self.unknown and ids and ids[-1] == i):  # unknowns in a row are one
