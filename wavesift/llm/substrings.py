@@ -4,7 +4,6 @@ and joined over all documents, and what lies under any run but its first occurre
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wavesift.llm.common import WORD
+from wavesift.llm.common import WORD, hide
 
 SENTENCE = re.compile(r"(?:[^\n.!?]+|[.!?]+(?![\s.!?]|\Z))*[.!?]*(?:\s+|\Z)")
+ADDED = ["n_sentences", "n_removed"]
 SPAN = "first int, last int, h long, h2 int"
 #: Of every RUN_STARTS word runs in a row one is hashed: 34 + 18 - 1 = 51 words hold one at least.
 RUN_WORDS, RUN_STARTS = 34, 18
@@ -28,27 +28,19 @@ def sentences(text: str | None) -> list[str]:
     return [x for x in SENTENCE.findall(text or "") if x]
 
 
-def runs(parts: list[str], min_words: int = 25, long_words: int = 50) -> list[tuple[int, int, int, int]]:
+def runs(parts: list[str], many: int = 3, pair_words: int = 25, long_words: int = 50) -> list[tuple[int, int, int, int]]:
     """(first, last, hash, more hash) of the runs of a text's sentences.
 
-    From each sentence on, and up to each sentence, the shortest run of two sentences or more
-    with min_words words in all; and each sentence alone that has long_words. So of a passage
-    of over 2 * min_words words in whole sentences, every sentence lies in a run inside it,
-    whatever stands around it. Words are compared as they are, the space between them isn't.
+    Every run of `many` sentences in a row, however short; every two with pair_words words in
+    all, and each alone with long_words. So of a passage of over 2 * pair_words words in whole
+    sentences every sentence lies in a run inside it, whatever stands around it. Words are
+    compared as they are, the space between them isn't; a run without words is none.
     """
     words = [WORD.findall(p) for p in parts]
     size = [len(w) for w in words]
-    total = [0]
-    for n in size:
-        total.append(total[-1] + n)
     spans = {(i, i) for i, n in enumerate(size) if n >= long_words}
-    for i in range(len(parts)):
-        j = max(bisect_left(total, total[i] + min_words), i + 2)
-        if j < len(total) and total[j] - total[i] >= min_words:
-            spans.add((i, j - 1))
-        k = min(bisect_right(total, total[i + 1] - min_words) - 1, i - 1)
-        if k >= 0 and total[i + 1] - total[k] >= min_words:
-            spans.add((k, i))
+    spans |= {(i, i + 1) for i in range(len(parts) - 1) if size[i] + size[i + 1] >= pair_words}
+    spans |= {(i, i + many - 1) for i in range(len(parts) - many + 1) if any(size[i : i + many])}
     text = [" ".join(w) for w in words]
     out = []
     for i, j in sorted(spans):
@@ -132,11 +124,12 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     id and text are one occurrence and are cut alike. Other columns, whatever their names but
     n_sentences and n_removed, stay as they are.
     """
+    own, names = hide(docs)
     d, t = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.hash("text")
-    once = docs.select(d.alias("d"), t.alias("t"), "text")
-    cuts = repeats(once, **how).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("cuts").alias("_cuts"))
-    joined = docs.join(cuts, (d == F.col("_d")) & (t == F.col("_t")), "left")
-    return _cut(joined.select(*[docs[c] for c in docs.columns], "_cuts"), docs.columns.index("text"))
+    cuts = repeats(own.select(d.alias("d"), t.alias("t"), "text"), **how)
+    cut = _cut(own.withColumns({"d": d, "t": t}).join(cuts, ["d", "t"], "left").select(*names, "cuts"), names.index("text"))
+    stay = [(o, n) for o, n in zip(names, docs.columns, strict=True) if n not in ADDED]
+    return cut.select(*[o for o, _ in stay], *ADDED).toDF(*[n for _, n in stay], *ADDED)
 
 
 def _without(parts: list[str], drop: set[int], words: set[int]) -> tuple[str, int]:
