@@ -7,10 +7,10 @@ from math import comb, erf, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.llm.common import materialize
+from wavesift.llm.common import join_unique, materialize
 from wavesift.llm.components import connected_components
 
 
@@ -108,15 +108,23 @@ def _collide(window: float):
     return run
 
 
+#: Full cells up to this number are broadcast; more are joined by a shuffle.
+FULL_CELLS = 50_000
+
+
 def collisions(classes: DataFrame, window: float, tables: int, grids: int, width: float, seed: int, chunk: int = 2048) -> DataFrame:
     """(a, b, n): pairs of classes (cid, embedding) and the tables in which they collide."""
     rows = classes.select("cid", "embedding").mapInArrow(_project(tables, grids, width, seed), "t int, cell long, at double, cid long")
-    sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "cell"))).where("n > 1")
-    few = sized.where(F.col("n") <= chunk).select("t", "cell", F.lit(-1).alias("duo"), "at", F.lit(0).alias("part"), "cid")
-    few = few.sortWithinPartitions("t", "cell", "at").mapInArrow(_collide(window), "a long, b long")
+    rows = materialize(rows, "projections")
+    full = rows.groupBy("t", "cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    full = materialize(full, "full-cells")  # counted before anything is dealt out, so a full cell's rows stay spread
+    if full.count() <= FULL_CELLS:
+        full = F.broadcast(full)
+    few = rows.join(full.select("t", "cell"), ["t", "cell"], "left_anti").select("t", "cell", F.lit(-1).alias("duo"), "at", F.lit(0).alias("part"), "cid")
+    few = few.repartition("t", "cell").sortWithinPartitions("t", "cell", "at").mapInArrow(_collide(window), "a long, b long")
     # a fuller cell is dealt out: every two of its chunks meet in a group of their own
     parts = F.ceil(F.col("n") / F.lit(chunk / 2)).cast("int")
-    many = sized.where(F.col("n") > chunk).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    many = rows.join(full, ["t", "cell"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     duos = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.when(o == F.col("part"), -1 - o).otherwise(F.least(o, F.col("part")) * F.col("parts") + F.greatest(o, F.col("part"))),
@@ -154,18 +162,18 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return materialize(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 64, grids: int = 10, recall: float = 0.99, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 96, grids: int = 14, recall: float = 0.99, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Equal vectors are one class. In each of `tables`, the classes are sorted by the cells of
-    `grids` projections, four link distances wide, and then by one more projection; a class
+    `grids` projections, six link distances wide, and then by one more projection; a class
     collides with those in its cells and within its window there. Pairs that collide in so
     many tables as a pair at the very threshold does with probability `recall` are verified in
     double precision; nearer pairs collide more. Unusable vectors have no links and are their
     own component. A null vec_id never names a component; such a row isn't kept.
     """
     r = sqrt(2 - 2 * cosine)
-    width, window = 4 * r, 2.5 * r
+    width, window = 6 * r, 2.5 * r
     least = calibrated_count(tables, collision_chance(r, width, window, grids), recall)
     classes = classes_of(vectors)
     pairs = collisions(classes, window, tables, grids, width, seed).where(F.col("n") >= least)
@@ -180,7 +188,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 64, gri
     of = classes.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").join(linked, F.col("cid") == F.col("a"), "left")
-    of = of.select(F.col("embedding").alias("_e"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    out = vectors.select("vec_id", "embedding").join(of, F.col("embedding") == F.col("_e"), "left")
-    own = F.when(F.col("_e").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    of = of.select("embedding", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("found"), F.col("copies").alias("_n"))
+    out = join_unique(vectors.select("vec_id", "embedding"), of, "embedding", vectors.count(), how="left")
+    own = F.when(F.col("found").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
