@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.llm.common import id_remainder, materialize
+from wavesift.llm.common import hide, id_remainder, materialize
 from wavesift.llm.quality_rules import Rule
-from wavesift.llm.stats import cut_points, features, labelled_sample, statistics, with_statistics
+from wavesift.llm.stats import cut_points, features, labelled_ids, labelled_sample, statistics, with_statistics
 
 
 @dataclass
@@ -139,6 +139,14 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **how) -> DataFr
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **how) -> DataFrame:
-    """The rows of docs whose score reaches the cut, columns as they are. Scored as by score()."""
-    model = train(statistics(docs), labels, **how)
-    return with_statistics(docs, "_stat_").where(model.column(features("_stat_")) >= cut).select(*docs.columns)
+    """The rows of docs whose score reaches the cut, columns as they are, whatever their names.
+    Scored as by score(); statistics for learning are those of the sampled texts only."""
+    own, names = hide(docs)
+    model = train(sampled_statistics(own, labels, max_rows=how.get("max_rows", 20_000)), labels, **how)
+    return with_statistics(own, "stat_").where(model.column(features("stat_")) >= cut).select(*names).toDF(*docs.columns)
+
+
+def sampled_statistics(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> DataFrame:
+    """statistics() of the rows of docs that train() takes: max_rows ids at most, broadcast."""
+    own = labelled_ids(labels, label, max_rows, ~held_out(F.col("doc_id"))).select("doc_id")
+    return statistics(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id", "left_semi"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.llm.common import hide
+
 #: kind: pattern, the group whose length counts, its least length. Fixed values of the base scan.
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -52,8 +54,6 @@ def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Co
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
 
 
-
-
 def listed(spans: Column) -> Column:
     """kind:start:stop of spans, comma-joined, in their order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -86,8 +86,10 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     there when a part of another role stands within `reach` code points and isn't under it;
     base spans count as such parts, and a weak part under a base span is no part. Null and
     empty texts have no spans; repeated rows have the same. Rows are told apart by 128 bits of
-    hash of id and text. Columns named spans or _key are replaced.
+    hash of id and text. A column named spans is replaced, others stay, whatever their names.
     """
+    names = docs.columns
+    docs, own = hide(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.flatten(F.array(*[matches(text, k, *v) for k, v in BASE.items()])))
     out = docs.withColumn("_base", base).withColumn("_key", F.concat_ws(":", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1))))
@@ -99,16 +101,18 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     held = held.where(F.exists("all", lambda s: s["rank"] >= len(BASE)) & (F.size(kinds) > 1)).dropDuplicates(["row"])
     parts = held.select("row", F.explode("all").alias("s")).select("row", "s.*", role[F.col("s.kind")].alias("role"))
     links = linked_parts(parts, reach).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "rank", "kind")).alias("_more"))
-    joined = out.join(links.withColumnRenamed("row", "_row"), F.col("_key") == F.col("_row"), "left").drop("spans")
+    joined = out.join(links.withColumnRenamed("row", "_row"), F.col("_key") == F.col("_row"), "left")
     both = F.concat(F.col("_base"), F.coalesce(F.col("_more"), F.array().cast(SPAN)))
     spans = F.array_sort(both, lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["rank"] - y["rank"])).cast("int"))
-    return joined.withColumn("spans", spans).drop("_base", "_more", "_key", "_row")
+    stay = [(o, n) for o, n in zip(own, names, strict=True) if n != "spans"]
+    return joined.withColumn("spans", spans).select(*[o for o, _ in stay], "spans").toDF(*[n for _, n in stay], "spans")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
     """docs with every span of its texts replaced by mark, overlapping ones by one mark; all
     columns as they are, but n_chars, where there is one, is the new length of a changed text."""
-    found = scan(docs, **how)
+    own, names = hide(docs, ("doc_id", "text", "n_chars"))
+    found = scan(own, **how)
     state = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -117,9 +121,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text") - s["at"])),
     )
-    text = F.when(F.size("spans") > 0, state).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
+    out = found.withColumn("_text", F.when(F.size("spans") > 0, state).otherwise(F.col("text")))
     new = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         new["n_chars"] = F.when(F.size("spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in names]).toDF(*docs.columns)

@@ -99,16 +99,21 @@ def features(prefix: str = "") -> dict[str, Column]:
     }
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: int, where: Column | None = None):
-    """(X, y): features and 0/1 labels of at most max_rows labelled rows, the ones with the
-    least hash of their id, so the same rows at any partitioning. Rows with a null id or a
-    label other than 0 and 1 are left out; of a repeated id the smallest label counts, and
-    its first row by statistics."""
+def labelled_ids(labels: DataFrame, label: str, max_rows: int, where: Column | None = None) -> DataFrame:
+    """(doc_id, _y): at most max_rows labelled ids, the ones with the least hash, so the same at
+    any partitioning. Null ids and labels other than 0 and 1 are left out; of a repeated id
+    the smallest label counts."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if where is not None:
         own = own.where(where)
     own = own.groupBy("doc_id").agg(F.min(label).cast("int").alias("_y"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: int, where: Column | None = None):
+    """(X, y): features and 0/1 labels of the rows of labelled_ids(); of a repeated id its
+    first row by statistics."""
+    own = labelled_ids(labels, label, max_rows, where)
     names = features()
     rows = stats.join(F.broadcast(own), "doc_id")  # max_rows small rows at most
     rows = rows.select("doc_id", "_y", *[c.alias(n) for n, c in names.items()])
