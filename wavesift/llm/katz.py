@@ -1,11 +1,16 @@
-"""Katz backoff: Good-Turing discounted bigram and unigram counts, exact backoff weights.
-
-The corpus is turned into batches of some million tokens, each with the 64-bit hashes of its
-distinct words and its texts as codes of them. A batch sends its distinct n-grams, counted, to
-the partition of the count table that their hash belongs to; the partition adds up the batches
-and answers each with the whole corpus's counts. So a common word or pair costs an entry for
-each batch and not one for each use, no partition grows with one key, and what travels is
-packed. The backoff weights are gathered by history in the same way.
+"""Katz backoff: Good-Turing discounted n-gram counts, exact backoff weights, any order.
+
+The corpus is turned into batches of about a million tokens, each with the 64-bit hashes of
+its distinct words and its texts as codes of them. A batch sends its distinct n-grams of each
+length, counted, to the partition of the count table that their hash belongs to; the partition
+adds up the batches and answers each with the whole corpus's counts. So a common n-gram costs
+an entry for each batch and not one for each use, no partition grows with one key, and what
+travels is packed. The backoff weights are gathered by history in the same way, of the
+histories that a text to be scored outside the training rows has: only there can an n-gram be
+unknown.
+
+Keys travel with 20 bits more than the corpus's tokens need, so a key falls together with
+another with a chance of 2 ** -20.
 """
 
 from __future__ import annotations
@@ -58,9 +63,13 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def bounds(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of `parts` equal ranges of the hashes begins in sorted keys, and the end."""
-    edges = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
+def key_bits(tokens: int) -> int:
+    return min(64, max(1, tokens).bit_length() + 20)
+
+
+def bounds(sorted_keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """Where each of `parts` equal ranges of keys of so many bits begins in sorted keys, and the end."""
+    edges = np.array([(i << bits) // parts for i in range(parts)], dtype=np.uint64)
     return np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
 
 
@@ -112,65 +121,74 @@ def batches_of(docs: DataFrame, held: Column, batch_tokens: int) -> DataFrame:
 
 
 class Batch:
-    """A row of STORE, unpacked; and its distinct pairs of neighbours, in the order of their keys."""
+    """A row of STORE, unpacked, and for each length n up to `order` its distinct n-grams in the
+    order of their keys: at[n], the one that ends at each token; hist[n], its first n - 1
+    tokens, and lower[n], its last, as places in the n-grams of length n - 1. Before a text
+    stand START tokens; the history of these only has the place behind the last."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         n_docs = len(row["doc_ids"])
-        self.bid, self.doc_ids = row["bid"], row["doc_ids"]
+        self.bid, self.doc_ids, self.order = row["bid"], row["doc_ids"], order
         self.held = unpacked(row["held"], n_docs, "u1").astype(bool)
         self.lengths = unpacked(row["lengths"], n_docs, "i8")
-        self.words = unpacked_sorted(row["words"], row["n_words"])
-        self.codes = unpacked(row["codes"], row["n_tokens"], "u4").astype(np.int64)
+        words = unpacked_sorted(row["words"], row["n_words"])
+        codes = unpacked(row["codes"], row["n_tokens"], "u4").astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.starts] = len(self.words)  # the start
-        both, at = np.unique(before * (len(self.words) + 1) + self.codes, return_inverse=True)
-        self.h, self.w = np.divmod(both, len(self.words) + 1)
-        keys = pair_keys(np.append(self.words, START)[self.h], self.words[self.w])
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.h, self.w, self.pairs, self.at = self.h[order], self.w[order], keys[order], place[at]
-
-    def counts(self, level: int) -> np.ndarray:
-        """How often training texts of the batch use each word (1) or pair (2)."""
-        used, n = (self.codes, len(self.words)) if level == 1 else (self.at, len(self.pairs))
-        return np.bincount(used[self.train], minlength=n).astype(np.uint32)
-
-
-def _send(parts: int):
-    names = ["level", "p", "bid", "n", "keys", "counts"]
+        self.keys, self.at, self.hist, self.lower, self.asked = {1: words}, {1: codes}, {}, {}, {}
+        for n in range(2, order + 1):
+            last, own = len(self.keys[n - 1]), self.at[n - 1]
+            prev = np.empty_like(own)
+            prev[1:] = own[:-1]
+            prev[self.starts] = last
+            both, some, at = np.unique(prev * len(words) + codes, return_index=True, return_inverse=True)
+            hist, word = np.divmod(both, len(words))
+            keys = pair_keys(np.append(self.keys[n - 1], START)[hist], words[word])
+            by_key = np.argsort(keys)
+            place = np.empty(len(by_key), np.int32)
+            place[by_key] = np.arange(len(by_key), dtype=np.int32)
+            self.keys[n], self.at[n], self.hist[n], self.lower[n] = keys[by_key], place[at].astype(np.int64), hist[by_key], own[some[by_key]]
+            self.asked[n - 1] = np.zeros(last + 1, bool)  # histories of texts outside training
+            self.asked[n - 1][prev[~self.train]] = True
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often training texts of the batch use each n-gram."""
+        return np.bincount(self.at[n][self.train], minlength=len(self.keys[n])).astype(np.uint32)
+
+
+def _send(parts: int, order: int, bits: int):
+    names = ["level", "p", "bid", "n", "keys", "counts", "asked"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for row in b.to_pylist():
-                x = Batch(row)
-                out = []
-                for level, keys in ((1, x.words), (2, x.pairs)):
-                    counts, at = x.counts(level), bounds(keys, parts)
+                x = Batch(row, order)
+                for level in range(1, order + 1):
+                    keys = x.keys[level] >> np.uint64(64 - bits)
+                    counts, at, out = x.counts(level), bounds(keys, parts, bits), []
+                    asked = x.asked[level] if level < order else np.zeros(len(keys) + 1, bool)
                     for p in np.flatnonzero(np.diff(at)).tolist():
                         some = slice(at[p], at[p + 1])
-                        out.append((level, p, x.bid, int(at[p + 1] - at[p]), packed_sorted(keys[some]), packed(counts[some])))
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out.append((level, p, x.bid, int(at[p + 1] - at[p]), packed_sorted(keys[some]), packed(counts[some]), packed(np.packbits(asked[some]))))
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
     """A partition of the count table: the batches' counts added up. Answers each batch with
-    the corpus's counts of its keys and whether the key is its own to report: that of the
-    first batch which trains on it. The row without a batch has N, V and how many keys have
-    the counts 1 to TOP + 1."""
+    the corpus's counts of its keys, whether the key is its own to report (1), that of the
+    first batch which trains on it, and whether any batch asks for it as a history (2). The
+    row without a batch has N, V and how many keys have the counts 1 to TOP + 1."""
     rows = sorted(table.to_pylist(), key=lambda r: r["bid"])
     keys, at = np.unique(np.concatenate([unpacked_sorted(r["keys"], r["n"]) for r in rows]), return_inverse=True)
     own = np.concatenate([unpacked(r["counts"], r["n"], "u4") for r in rows]).astype(np.int64)
     total = np.bincount(at, own, len(keys)).astype(np.int64)
     uses = np.flatnonzero(own)
-    first = np.zeros(len(at), np.uint8)
-    first[uses[np.unique(at[uses], return_index=True)[1]]] = 1
+    asked = np.concatenate([np.unpackbits(unpacked(r["asked"], -(-r["n"] // 8), "u1"), count=r["n"]) for r in rows])
+    first = (np.bincount(at, asked, len(keys)) > 0).astype(np.uint8)[at] * np.uint8(2)
+    first[uses[np.unique(at[uses], return_index=True)[1]]] += 1
     stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()]
     out, last = [], 0
     for r in rows:
@@ -203,82 +221,94 @@ class Model:
     """Totals of the training corpus, known to every task: they don't grow with it.
 
     P(w) = d c(w) / (N + spare), the rest for all unknown words as one;
-    P(w | h) = d c(hw) / (c(h) + spare) for known pairs, else alpha(h) P(w), where alpha makes
-    the sum over all words 1. spare keeps some mass even where nothing is discounted. A history
-    never trained on backs off with weight 1."""
-
-    def __init__(self, uni: list[int], bi: list[int], texts: int, spare: float):
-        self.n, self.v, self.texts, self.spare = uni[0], uni[1], texts, spare
-        self.d1, self.d2 = discounts(uni[2:]), discounts(bi[2:])
-        kept = (np.array(uni[2 : 2 + TOP]) * np.arange(1, TOP + 1) * (1 - self.d1[1 : TOP + 1])).sum()
+    P(w | h) = d c(hw) / (c(h) + spare) for known n-grams, else alpha(h) P(w | h less its first
+    token), where alpha makes the sum over all words 1. spare keeps some mass even where
+    nothing is discounted. A history never trained on backs off with weight 1."""
+
+    def __init__(self, stats: dict[int, list[int]], order: int, texts: int, spare: float):
+        zero = [0] * (TOP + 3)
+        uni = stats.get(1, zero)
+        self.n, self.v, self.texts, self.spare, self.order = uni[0], uni[1], texts, spare, order
+        self.d = {n: discounts(stats.get(n, zero)[2:]) for n in range(1, order + 1)}
+        kept = (np.array(uni[2 : 2 + TOP]) * np.arange(1, TOP + 1) * (1 - self.d[1][1 : TOP + 1])).sum()
         self.unknown = (kept + spare) / (self.n + spare)
 
-    def p1(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d1[np.minimum(c, TOP + 1)] * c / (self.n + self.spare), self.unknown)
+    def known(self, n: int, c: np.ndarray, history: np.ndarray | None = None) -> np.ndarray:
+        """The probability of known n-grams with counts c after histories with these counts."""
+        return self.d[n][np.minimum(c, TOP + 1)] * c / ((self.n if n == 1 else history) + self.spare)
 
-    def taken(self, c: np.ndarray) -> np.ndarray:
-        """What the discount takes off a pair's count."""
-        return (1 - self.d2[np.minimum(c, TOP + 1)]) * c
+    def taken(self, n: int, c: np.ndarray) -> np.ndarray:
+        """What the discount takes off an n-gram's count."""
+        return (1 - self.d[n][np.minimum(c, TOP + 1)]) * c
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _score(model: Model, parts: int):
+def _score(model: Model, parts: int, bits: int):
     """A batch and its answers: the scores of its texts but for backoff weights (kind 0), and
-    what the partitions of the weight table need: of each history its count, what is taken off
-    its own pairs and their lower probability (kind 1), and the uses of unknown pairs by texts
-    (kind 2)."""
-    names = ["kind", "p", "bid", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n", "keys", "a", "b", "c"]
+    what the partitions of the weight table need: of each history that is asked for its count,
+    what is taken off its own n-grams and their lower probability (kind 1), and the uses of
+    backoff by texts (kind 2)."""
+    names = ["kind", "level", "p", "bid", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n", "keys", "a", "b", "c"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        rows = sorted(right.to_pylist(), key=lambda r: (r["level"], r["p"]))
         for row in left.to_pylist():
-            x = Batch(row)
-            got: dict[int, list] = {1: [], 2: []}
-            for r in sorted(right.to_pylist(), key=lambda r: (r["level"], r["p"])):
-                got[r["level"]].append((unpacked(r["counts"], r["n"], "u4"), unpacked(r["own"], r["n"], "u1")))
-            c1 = np.concatenate([g[0] for g in got[1]]).astype(np.int64)
-            c2 = np.concatenate([g[0] for g in got[2]]).astype(np.int64)
-            own = np.concatenate([g[1] for g in got[2]]).astype(bool)
-            ch, p1 = np.append(c1, model.texts), model.p1(c1)
-            known = c2 > 0
-            with np.errstate(divide="ignore"):
-                log_p = np.where(known, np.log10(model.d2[np.minimum(c2, TOP + 1)] * c2 / (ch[x.h] + model.spare)), np.log10(p1[x.w]))
-            sums = [np.add.reduceat(v, x.starts) for v in ((c1 > 0)[x.codes].astype(np.int64), model.base(c1)[x.codes], log_p[x.at])]
+            x = Batch(row, model.order)
+            c, flags, of = {}, {}, {}
+            for n in range(1, model.order + 1):
+                got = [r for r in rows if r["level"] == n]
+                c[n] = np.concatenate([unpacked(r["counts"], r["n"], "u4") for r in got]).astype(np.int64)
+                flags[n] = np.append(np.concatenate([unpacked(r["own"], r["n"], "u1") for r in got]), np.uint8(2))
+                if n > 1:
+                    of[n] = np.append(c[n - 1], model.texts)[x.hist[n]]  # the count of each history
+
+            p = {1: np.where(c[1] > 0, model.known(1, c[1]), model.unknown)}
+            log_p = np.log10(p[1])
+            for n in range(2, model.order + 1):  # as if every weight were 1
+                p[n] = model.known(n, c[n], of[n])
+                with np.errstate(divide="ignore"):
+                    log_p = np.where(c[n] > 0, np.log10(p[n]), log_p[x.lower[n]])
+            sums = [np.add.reduceat(v, x.starts) for v in ((c[1] > 0)[x.at[1]].astype(np.int64), model.base(c[1])[x.at[1]], log_p[x.at[model.order]])]
             for i, v in enumerate(zip(x.doc_ids, x.held.tolist(), x.lengths.tolist(), *(s.tolist() for s in sums), strict=True)):
-                out.append((0, None, x.bid, i, *v, None, None, None, None, None))
-            hashes = np.append(x.words, START)
-            # histories of own pairs
-            h, at = np.unique(x.h[own], return_inverse=True)
-            taken, lower = np.bincount(at, model.taken(c2[own]), len(h)), np.bincount(at, p1[x.w[own]], len(h))
-            order = np.argsort(hashes[h])
-            h, taken, lower = h[order], taken[order], lower[order]
-            cut = bounds(hashes[h], parts)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                s = slice(cut[p], cut[p + 1])
-                out.append((1, p, x.bid, *[None] * 7, int(cut[p + 1] - cut[p]), packed_sorted(hashes[h[s]]), packed(taken[s]), packed(lower[s]), packed(ch[h[s]])))
-            # unknown pairs after known histories, by text
-            lost = np.flatnonzero(~known[x.at])
-            lost = lost[ch[x.h[x.at[lost]]] > 0]
-            doc = np.searchsorted(x.starts, lost, side="right") - 1
-            use, n = np.unique(x.h[x.at[lost]] * (len(x.doc_ids) + 1) + doc, return_counts=True)
-            h, doc = np.divmod(use, len(x.doc_ids) + 1)
-            order = np.argsort(hashes[h], kind="stable")
-            h, doc, n = h[order], doc[order], n[order]
-            cut = bounds(hashes[h], parts)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                s = slice(cut[p], cut[p + 1])
-                out.append((2, p, x.bid, *[None] * 7, int(cut[p + 1] - cut[p]), packed_sorted(hashes[h[s]]), packed(doc[s].astype(np.uint32)), packed(n[s].astype(np.uint32)), None))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), left.schema.field("doc_ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 15, kinds, strict=True)], names=names)
+                out.append((0, None, None, x.bid, i, *v, None, None, None, None, None))
+
+            def send(kind: int, n: int, h: np.ndarray, *values: np.ndarray) -> None:
+                """values of histories h to the partitions of their keys"""
+                keys = np.append(x.keys[n - 1], START)[h] >> np.uint64(64 - bits)
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], [v[order] for v in values]
+                cut = bounds(keys, parts, bits)
+                for q in np.flatnonzero(np.diff(cut)).tolist():
+                    s = slice(cut[q], cut[q + 1])
+                    some = [packed(v[s]) for v in values] + [None] * (3 - len(values))
+                    out.append((kind, n, q, x.bid, *[None] * 7, int(cut[q + 1] - cut[q]), packed_sorted(keys[s]), *some))
+
+            left_over = np.flatnonzero(~x.train)  # tokens whose n-gram isn't known at any greater length
+            doc = np.searchsorted(x.starts, left_over, side="right") - 1
+            for n in range(model.order, 1, -1):
+                own = np.flatnonzero((flags[n][:-1] & 1 > 0) & (flags[n - 1][x.hist[n]] & 2 > 0))
+                h, at = np.unique(x.hist[n][own], return_inverse=True)
+                taken, lower = np.bincount(at, model.taken(n, c[n][own]), len(h)), np.bincount(at, p[n - 1][x.lower[n][own]], len(h))
+                send(1, n, h, taken, lower, np.append(c[n - 1], model.texts)[h])
+                lost = c[n][x.at[n][left_over]] == 0
+                left_over, doc = left_over[lost], doc[lost]
+                gram = x.at[n][left_over]
+                back = of[n][gram] > 0
+                use, times = np.unique(x.hist[n][gram[back]] * len(x.doc_ids) + doc[back], return_counts=True)
+                h, at = np.divmod(use, len(x.doc_ids))
+                send(2, n, h, at.astype(np.uint32), times.astype(np.uint32))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), left.schema.field("doc_ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 16, kinds, strict=True)], names=names)
 
     return run
 
 
 def _weigh(model: Model):
-    """A partition of the weight table: alpha of each history; and for each text that backs off
-    through it, the sum of their logs."""
+    """A partition of the weight table: alpha of each history; and for each batch that backs off
+    through it, a row with the sum of their logs for each of its texts, packed."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["kind", "bid", "n", "keys", "a", "b", "c"]).to_pylist(), key=lambda r: (r["kind"], r["bid"]))
@@ -289,22 +319,32 @@ def _weigh(model: Model):
         lower = np.bincount(at, get(given, lambda r: unpacked(r["b"], r["n"], "f8")), len(keys))
         count = np.zeros(len(keys))
         count[at] = get(given, lambda r: unpacked(r["c"], r["n"], "i8"))
-        alpha = (taken + model.spare) / (count + model.spare) / np.maximum(1 - lower, model.unknown)
-        bids, docs, logs = [], [], []
+        alpha = (taken + model.spare) / (count + model.spare) / np.maximum(1 - lower, 1e-15)
+        out = []
         for r in asked:
             log = np.log10(alpha[np.searchsorted(keys, unpacked_sorted(r["keys"], r["n"]))]) * unpacked(r["b"], r["n"], "u4")
             doc, i = np.unique(unpacked(r["a"], r["n"], "u4"), return_inverse=True)
-            bids += [r["bid"]] * len(doc)
-            docs += doc.tolist()
-            logs += np.bincount(i, log, len(doc)).tolist()
-        return pa.table([pa.array(bids, pa.int64()), pa.array(docs, pa.int64()), pa.array(logs, pa.float64())], names=["bid", "doc", "score"])
+            out.append((r["bid"], len(doc), packed(doc), packed(np.bincount(i, log, len(doc)))))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["bid", "n", "docs", "logs"])
 
     return run
 
 
-def katz_scores(docs: DataFrame, batch_tokens: int = 2_000_000, part_tokens: int = 2_000_000, spare: float = 0.01) -> DataFrame:
+def _added(table: pa.Table) -> pa.Table:
+    """A batch's rows of the weight table: the sum of all logs for each text."""
+    rows = table.to_pylist()
+    docs = np.concatenate([unpacked(r["docs"], r["n"], "u4") for r in rows])
+    logs = np.concatenate([unpacked(r["logs"], r["n"], "f8") for r in rows])
+    doc, at = np.unique(docs, return_inverse=True)
+    sums = np.bincount(at, logs, len(doc))
+    return pa.table([pa.array(np.full(len(doc), rows[0]["bid"], np.int64)), pa.array(doc.astype(np.int64)), pa.array(sums)], names=["bid", "doc", "more"])
+
+
+def katz_scores(docs: DataFrame, order: int = 3, batch_tokens: int = 1_000_000, part_tokens: int = 1_500_000, spare: float = 0.01) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of
-    docs (doc_id, text); logs are of base 10.
+    docs (doc_id, text); logs are of base 10. An n-gram of `order` tokens that training lacks
+    backs off to shorter ones, down to single words.
 
     Learns from the rows whose crc32(doc_id as text) mod 10 isn't 0 and scores all. Null and
     empty texts are their end token; a null id counts as the text '', so it is held out.
@@ -314,23 +354,22 @@ def katz_scores(docs: DataFrame, batch_tokens: int = 2_000_000, part_tokens: int
     held = id_remainder(F.col("doc_id"), 10) == 0
     store = materialize(batches_of(docs, held, batch_tokens), "tokens")
     got = store.select(F.sum("n_tokens").alias("n")).first()
-    parts = max(1, -(-(got.n or 0) // part_tokens))
-    sent = store.mapInArrow(_send(parts), "level int, p int, bid long, n long, keys binary, counts binary")
+    parts, bits = max(1, -(-(got.n or 0) // part_tokens)), key_bits(got.n or 0)
+    sent = store.mapInArrow(_send(parts, order, bits), "level int, p int, bid long, n long, keys binary, counts binary, asked binary")
     answers = sent.groupBy("level", "p").applyInArrow(_count, "level int, p int, bid long, n long, counts binary, own binary, stats array<long>")
     answers = materialize(answers, "counts")
     sums = answers.where("bid is null").groupBy("level").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(TOP + 3)])
-    stats = {r["level"]: list(r)[1:] for r in sums.collect()}  # two rows
-    zero = [0] * (TOP + 3)
+    stats = {r["level"]: list(r)[1:] for r in sums.collect()}  # a row for each length
     texts = docs.where(~held).count()
-    model = Model(stats.get(1, zero), stats.get(2, zero), texts, spare)
+    model = Model(stats, order, texts, spare)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"kind int, p int, bid long, doc long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n long, keys binary, a binary, b binary, c binary"
-    scored = store.groupBy("bid").cogroup(answers.where("bid is not null").groupBy("bid")).applyInArrow(_score(model, parts), shape)
+    shape = f"kind int, level int, p int, bid long, doc long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n long, keys binary, a binary, b binary, c binary"
+    scored = store.groupBy("bid").cogroup(answers.where("bid is not null").groupBy("bid")).applyInArrow(_score(model, parts, bits), shape)
     scored = materialize(scored, "scored")
     discard(store)
     discard(answers)
-    weights = scored.where("kind > 0").groupBy("p").applyInArrow(_weigh(model), "bid long, doc long, score double")
-    more = weights.groupBy("bid", "doc").agg(F.sum("score").alias("more"))
+    weights = scored.where("kind > 0").groupBy("level", "p").applyInArrow(_weigh(model), "bid long, n long, docs binary, logs binary")
+    more = weights.groupBy("bid").applyInArrow(_added, "bid long, doc long, more double")
     own = scored.where("kind = 0").join(more, ["bid", "doc"], "left")
     return own.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score",
