@@ -6,7 +6,7 @@ import pytest
 
 from wavesift.llm import quality_classifier as qc
 from wavesift.llm import quality_rules as qr
-from wavesift.llm import stats
+from wavesift.llm import secrets, stats
 from wavesift.llm.common import WORD, table
 
 SF = "/root/testdata/sf0.01"
@@ -101,3 +101,29 @@ def test_sample_is_bounded_and_drops_bad_labels(spark):
     assert len(y) == 50 and y.sum() == 24
     with pytest.raises(Exception, match="nolabel"):
         stats.labelled_sample(stats.statistics(docs), labels, "nolabel", 5)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "some plain words here and there, token=abcdefgh12 at the end of it", 7, "a", "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stat_n_words long, _stat_n_words string, _row string, _base long")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = qc.drop_rejected(df, labels, cut=0.0)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == rows
+    other = spark.createDataFrame(rows, "doc_id long, text string, _text long, _more string, _row string, _key long")
+    for done in (secrets.scan(other), secrets.redact(other)):
+        r = done.first()
+        assert done.columns[:6] == other.columns and tuple(r)[2:6] == rows[0][2:]
+    assert r.text.endswith("[SECRET] at the end of it")
+
+
+def test_scores_of_columns_are_those_of_the_model(spark):
+    """The compiled column against the ensemble's own NumPy score, row by row; one with rules."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    some = stats.statistics(docs).cache()
+    model = qc.train(some, labels)
+    assert len(model.rules) > 3
+    names = stats.features()
+    rows = some.select(model.column(names).alias("got"), *[c.alias(n) for n, c in names.items()]).toPandas()
+    want = model.score(rows[[*names]].to_numpy(dtype=float), list(names))
+    np.testing.assert_allclose(rows["got"].to_numpy(), want, rtol=1e-9)
+    some.unpersist()
