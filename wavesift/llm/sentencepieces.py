@@ -68,20 +68,23 @@ class Pieces:
 
         def settle() -> None:
             """An unknown character, where no piece covers the one before this place."""
-            if not single and best[at - 1] + worst > best[at]:
+            if best[at - 1] + worst > best[at]:
                 best[at], sizes[at], pieces[at] = best[at - 1] + worst, 1, unknown
 
         for last, (size, score, i) in self.automaton.iter(text):  # at a place, the longest first
             while at <= last:
-                settle()
+                if not single:
+                    settle()
                 at, single = at + 1, False
             single |= size == 1
             if best[at - size] + score > best[at]:
                 best[at], sizes[at], pieces[at] = best[at - size] + score, size, i
         while at < n:
-            settle()
+            if not single:
+                settle()
             at, single = at + 1, False
-        settle()
+        if not single:
+            settle()
         ids: list[int] = []
         at = n
         while at:
