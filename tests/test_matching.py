@@ -182,15 +182,138 @@ def test_plan_is_disjoint_and_ordered(spark, walk):
     assert planner.plan(Query("RSM-ED", 5.0), walk[:20], stats) == []
 
 
-def test_beta_parts_keep_what_can_match(walk):
-    q, query = walk[100:160], Query("cNSM-ED", 3.0, alpha=1.5, beta=3.0)
-    stats = planner.Statistics([{"w": 25, "key": k, "lo": k * 0.5, "hi": k * 0.5 + 0.5, "n_int": 1} for k in range(-100, 100)])
-    s = planner.segment(query, q, stats, 0, 25)
-    lo = np.arange(-100, 100) * 0.5
-    mask = probe.beta_mask(lo, lo + 0.5, s, query, q)
-    inside = (lo + 0.5 >= s.lo) & (lo <= s.hi)
-    assert (mask[~inside] == 0).all() and mask.any()
-    assert probe.range_union([s, s]) == {25: [(s.lo, s.hi)]}
+@pytest.mark.parametrize("query", [Query("cNSM-ED", 4.0, alpha=1.2, beta=3.0), Query("cNSM-DTW", 2.5, rho=2, alpha=1.2, beta=3.0), Query("cNSM-ED", 4.0, alpha=1.0, beta=0.0)], ids=str)
+def test_bounds_by_parts_of_beta_keep_what_can_match(spark, walk, query):
+    q = walk[100:175]
+    rows = index.build(table(spark, walk), (25, 50))
+    stats = planner.Statistics.of(index.statistics(rows))
+    plan = planner.plan(query, q, stats)
+    want = brute(walk, q, query).keys()
+    by_ranges = None
+    for s in plan:
+        own = {p - s.first for r in rows.where(f"w = {s.w}").collect() if r.hi >= s.lo and r.lo <= s.hi for p in range(r.left, r.right + 1)}
+        by_ranges = own if by_ranges is None else by_ranges & own
+    by_ranges = {p for p in by_ranges if 1 <= p <= len(walk) - len(q) + 1}
+    sizes = [len(by_ranges)]
+    for parts in (1, 4, 16):
+        got = {r.start for r in probe.candidates(rows, plan, query, len(walk), len(q), q=q, parts=parts).collect()}
+        assert want <= got <= by_ranges
+        sizes.append(len(got))
+    assert sizes == sorted(sizes, reverse=True) and (sizes[-1] < sizes[0] or not query.beta)
+    assert probe.range_union([plan[0], plan[0]]) == {plan[0].w: [(plan[0].lo, plan[0].hi)]}
+
+
+@pytest.mark.parametrize("kind", ["RSM-ED", "RSM-DTW"])
+def test_ranges_cut_by_the_other_segments_lose_no_answer(spark, walk, kind):
+    at = min(max(int(walk.argmax()) - 37, 0), len(walk) - 75)
+    q = walk[at : at + 75].copy()
+    q[25:50] = walk.max() + 1.2  # no bucket of the index is near the mean here
+    query = Query(kind, 1.05 * float(np.sqrt(((q - walk[at : at + 75]) ** 2).sum())), rho=2)
+    s = table(spark, walk)
+    rows = index.build(s, (25,))
+    stats = planner.Statistics.of(index.statistics(rows))
+    want = brute(walk, q, query)
+    assert want
+    same(Engine(s, index_rows=rows).query(query, q).found, want)
+    whole = [planner.segment(query, q, stats, i, 25, *(float(e[i : i + 25].mean()) for e in planner.envelope(q, query.band(75)))) for i in (0, 25, 50)]
+    cut = planner.tightened(whole, query, q, stats)
+    assert sum(x.hi - x.lo for x in cut) < sum(x.hi - x.lo for x in whole)
+    assert {r.start for r in probe.candidates(rows, cut, query, len(walk), 75).collect()} >= want.keys()
+
+
+def test_plan_has_the_least_mean_log_selectivity(spark, walk):
+    """Against every way to cut a short query."""
+    stats = planner.Statistics.of(index.statistics(index.build(table(spark, walk), (25, 50, 100))))
+    for m, at in ((100, 0), (151, 240), (200, 480)):
+        query, q = Query("RSM-ED", 3.0), walk[at : at + m]
+        n = m // 25
+
+        def ways(i, q=q, query=query, n=n):
+            if i >= n:
+                yield []
+                return
+            yield from ways(i + 1)
+            for w in (25, 50, 100):
+                if i + w // 25 <= n:
+                    mean = float(q[i * 25 : i * 25 + w].mean())
+                    lo, hi = mean - query.eps / w**0.5, mean + query.eps / w**0.5
+                    k = sum(int(c) for c, a, b in zip(np.diff(stats.by[w][2]), *stats.by[w][:2], strict=True) if b >= lo and a <= hi)
+                    for rest in ways(i + w // 25):
+                        yield [np.log(max(k, 0.5) / stats.total(w)), *rest]
+
+        least = max(1, min((int(np.log2(m)) - 1) // 2, n))
+        best = min(np.mean(x) for x in ways(0) if len(x) >= least)
+        got = planner.plan(query, q, stats)
+        assert len(got) >= least
+        assert np.mean([np.log(max(s.intervals, 0.5) / stats.total(s.w)) for s in got]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("few, gain", [(1.2, 0.8), (3.0, 0.95)])
+def test_row_merge_against_a_fold_over_intervals(spark, walk, few, gain):
+    """The rule on the intervals themselves, from the greatest key down, a width at a time."""
+    rows = index.build(table(spark, walk), (25, 50))
+    got = {(r.w, r.key, r.lo, r.hi, r.left, r.right) for r in index.merge_rows(rows, few, gain).collect()}
+    want = set()
+    for w in (25, 50):
+        by: dict = {}
+        for r in rows.where(f"w = {w}").collect():
+            by.setdefault(r.key, []).append((r.left, r.right))
+        average = sum(map(len, by.values())) / len(by)
+        done: list = []  # [least key, greatest key, intervals]
+        for key in sorted(by, reverse=True):
+            own = by[key]
+            if done:
+                union: list = []
+                for a, b in sorted(done[-1][2] + own):
+                    if union and a <= union[-1][1] + 1:
+                        union[-1] = (union[-1][0], max(b, union[-1][1]))
+                    else:
+                        union.append((a, b))
+                if len(own) < few * average and len(union) < gain * (len(done[-1][2]) + len(own)):
+                    done[-1] = [key, done[-1][1], union]
+                    continue
+            done.append([key, key, own])
+        want |= {(w, k, k * 0.5, top * 0.5 + 0.5, a, b) for k, top, x in done for a, b in x}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_union_over_ends_of_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    rows = [(s, int(a), int(a + n)) for s in "st" for a, n in zip(rng.integers(1, 300, 40), rng.integers(0, 9, 40), strict=True)] + [("t", 50, 180)]
+    for gap in (1, 3):
+        got = {tuple(r) for r in index.coalesce(spark.createDataFrame(rows, "series_id string, left long, right long"), ["series_id"], gap, block + gap).collect()}
+        want: list = []
+        for s, a, b in sorted(rows):
+            if want and want[-1][0] == s and a <= want[-1][2] + gap:
+                want[-1] = (s, want[-1][1], max(b, want[-1][2]))
+            else:
+                want.append((s, a, b))
+        assert got == set(want)
+
+
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
+def test_overlap_removal_over_ends_of_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(answers, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = [(s, int(p), float(d)) for s in "st" for p, d in zip(rng.choice(600, 90, replace=False), rng.integers(0, 50, 90), strict=True)]
+    got = {(r.series_id, r.pos) for r in answers.without_overlap(spark.createDataFrame(rows, "series_id string, pos long, dist double"), 12).collect()}
+    kept: list = []
+    for s, p, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        if all(s != t or abs(p - k) >= 12 for t, k in kept):
+            kept.append((s, p))
+    assert got == set(kept)
+
+
+def test_metrics_are_added_to_those_there(spark, walk, tmp_path):
+    s = table(spark, walk)
+    path = str(tmp_path / "runs")
+    for eps in (2.0, 5.0):
+        run = Engine(s, index_rows=index.build(s, (25,))).query(Query("RSM-ED", eps), offset=100, length=60).metrics()
+        answers.write_metrics(spark.createDataFrame([run]), path)
+    got = spark.read.option("header", True).option("inferSchema", True).csv(path).orderBy("answers").collect()
+    assert [r.answers for r in got] == [len(brute(walk, walk[99:159], Query("RSM-ED", e))) for e in (2.0, 5.0)]
+    assert all(r.candidates >= r.answers for r in got)
 
 
 def test_chunks_and_halos(spark):

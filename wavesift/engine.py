@@ -73,15 +73,10 @@ class Engine:
         if len(q) < 1:
             raise ValueError("an empty query")
         helps = use_index and self.stats is not None and len(q) >= BASIC and query.kind != "NSM-ED"
-        plan = planner.plan(query, q, self.stats, most=most) if helps else []
+        plan = planner.tightened(planner.plan(query, q, self.stats, most=most), query, q, self.stats) if helps else []
         if not plan:
             return Result(answers.ordered(verify.scan(self.table, q, query)))
         if len(q) > self.n:
             return Result(answers.ordered(verify.scan(self.table, q, query)), plan)
-        cand = probe.candidates(self.index, plan, query, self.n, len(q), self.series_id)
+        cand = probe.candidates(self.index, plan, query, self.n, len(q), self.series_id, q)
         return Result(answers.ordered(verify.check(self.table, cand, q, query)), plan, cand)
-
-
-def match_all(table: DataFrame, q, query: Query, pieces: int = 0) -> DataFrame:
-    """The answers of a query in every series of a table, unordered."""
-    return verify.scan(table, np.asarray(q, dtype=float), query, pieces)

@@ -3,8 +3,6 @@ needs a whole series."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +59,8 @@ def window_values(series: DataFrame, m: int, span: int = SPAN) -> DataFrame:
     return got.where("own").where(F.size("vals") == m).drop("own")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def excess(values: Column, lower: Column, upper: Column) -> Column:
     """The sum of squares by which values lie outside lower .. upper: the Keogh bound."""
     over = F.zip_with(values, upper, lambda v, u: F.greatest(v - u, F.lit(0.0)))
     under = F.zip_with(values, lower, lambda v, lo: F.greatest(lo - v, F.lit(0.0)))
     return F.aggregate(F.zip_with(over, under, lambda x, y: x * x + y * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

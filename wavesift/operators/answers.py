@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a block, in which runs of answers are found.
+BLOCK = 1 << 20
+
 
 def ordered(answers: DataFrame) -> DataFrame:
     return answers.orderBy("dist", "series_id", "pos")
@@ -31,10 +33,20 @@ def without_overlap(answers: DataFrame, m: int) -> DataFrame:
     """Greedy: the nearest answer stays, and all within m - 1 positions of one that stays go.
 
     Answers m or more apart from the next on a side can't touch, so each run of answers with
-    smaller gaps is settled on its own, and a run is a group of its own task."""
-    w = Window.partitionBy("series_id").orderBy("pos")
-    new = F.coalesce(F.col("pos") - F.lag("pos").over(w) >= m, F.lit(True)).cast("int")
-    runs = answers.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    smaller gaps is settled on its own, and a run is a group of its own task. Runs are found
+    inside blocks of positions; only a row of each block is put in order for a whole series."""
+    size = max(m, BLOCK)
+    own = Window.partitionBy("series_id", "_block").orderBy("pos")
+    before = Window.partitionBy("series_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    a = answers.select("series_id", "pos", "dist", F.floor(F.col("pos") / size).alias("_block"))
+    ends = a.groupBy("series_id", "_block").agg(F.max("pos").alias("_end"))
+    a = a.join(ends.select("series_id", "_block", F.max("_end").over(before).alias("_before")), ["series_id", "_block"])
+    new = F.coalesce(F.col("pos") - F.coalesce(F.lag("pos").over(own), "_before") >= m, F.lit(True))
+    a = a.withColumn("_first", F.when(new, F.col("pos")))  # runs are named by their first positions
+    firsts = a.groupBy("series_id", "_block").agg(F.max("_first").alias("_last"))
+    a = a.join(firsts.select("series_id", "_block", F.max("_last").over(before).alias("_open")), ["series_id", "_block"])
+    run = F.coalesce(F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_open")
+    runs = a.select("series_id", "pos", "dist", run.alias("run"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         from bisect import bisect_left, insort
@@ -73,11 +85,3 @@ def workload(spark, offsets: list[int], lengths: list[int], epsilons: list[float
 def write_metrics(rows: DataFrame, path: str) -> None:
     """Statistics of runs as CSV files with a header, added to those there."""
     rows.write.mode("append").option("header", True).csv(path)
-
-
-def distinct_positions(parts: Iterator[DataFrame]) -> DataFrame:
-    """The union of answers of several scans, each position once with its least distance."""
-    first, *rest = list(parts)
-    for p in rest:
-        first = first.unionByName(p)
-    return first.groupBy("series_id", "pos").agg(F.min("dist").alias("dist"))

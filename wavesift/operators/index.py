@@ -34,14 +34,26 @@ def islands(windows: DataFrame) -> DataFrame:
     return coalesce(runs.select("series_id", "w", "key", "left", "right"), ["series_id", "w", "key"])
 
 
-def coalesce(intervals: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
+def coalesce(intervals: DataFrame, by: list[str], gap: int = 1, block: int = 1 << 20) -> DataFrame:
     """The union of intervals (by, left, right): overlapping ones, and such as follow within
-    `gap`, become one."""
-    w = Window.partitionBy(*by).orderBy("left", "right")
-    reach = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("left") > reach + gap, F.lit(True)).cast("int")
-    marked = intervals.withColumn("_n", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_n").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("_n")
+    `gap`, 1 at least, become one.
+
+    Intervals are cut to blocks of positions and each block is merged on its own; only pieces at
+    the ends of blocks, two a block at most and far fewer than positions, meet in one task."""
+
+    def merge(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("left", "right")
+        reach = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.coalesce(F.col("left") > reach + gap, F.lit(True)).cast("int")
+        marked = rows.withColumn("_n", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*by, "_n").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("_n")
+
+    first, last = F.col("_block") * block, F.col("_block") * block + block - 1
+    cut = intervals.withColumn("_block", F.explode(F.sequence(F.floor(F.col("left") / block), F.floor(F.col("right") / block))))
+    cut = cut.withColumn("left", F.greatest("left", first)).withColumn("right", F.least("right", last))
+    own = merge(cut, [*by, "_block"])
+    at_end = (F.col("left") < first + gap) | (F.col("right") > last - gap)
+    return own.where(~at_end).drop("_block").unionByName(merge(own.where(at_end).drop("_block"), by))
 
 
 def split(intervals: DataFrame, most: int = 255) -> DataFrame:
@@ -133,14 +145,6 @@ def read_keys(index: DataFrame, w: int, lo: int, hi: int, series_id: str = "s")
     return index.where((F.col("w") == w) & (F.col("series_id") == series_id) & F.col("key").between(lo, hi))
 
 
-def greatest_key_below(keys: list[int], key: int) -> int | None:
-    return max((k for k in keys if k <= key), default=None)
-
-
-def least_key_above(keys: list[int], key: int) -> int | None:
-    return min((k for k in keys if k >= key), default=None)
-
-
 def stitch(parts: list[DataFrame]) -> DataFrame:
     """Statistics of parts of an index, made apart, as those of the whole."""
     first, *rest = parts

@@ -5,8 +5,8 @@ Runs on the driver over the collected statistics, a row for each bucket."""
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
-from math import floor, log, log2, sqrt
+from dataclasses import dataclass, replace
+from math import floor, inf, log, log2, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,6 +48,14 @@ class Statistics:
         a, b = bisect_left(his, lo), bisect_right(los, hi)
         return int(cum[b] - cum[a]) if b > a else 0
 
+    def nearest(self, w: int, low: float, high: float) -> float:
+        """How far the bucket nearest to [low, high] is from it."""
+        los, his, _ = self.by[w]
+        if self.intervals(w, low, high):
+            return 0.0
+        a = bisect_left(his, low)
+        return min(los[a] - high if a < len(los) else inf, low - his[a - 1] if a else inf)
+
     def total(self, w: int) -> int:
         return int(self.by[w][2][-1])
 
@@ -80,9 +88,8 @@ def mean_range(query: Query, q: np.ndarray, w: int, low: float, high: float) ->
     return min(e[0] for e in ends) - query.beta, max(e[1] for e in ends) + query.beta
 
 
-def segment(query: Query, q: np.ndarray, stats: Statistics, first: int, w: int) -> Segment:
-    lower, upper = envelope(q, query.band(len(q)))
-    low, high = float(lower[first : first + w].mean()), float(upper[first : first + w].mean())
+def segment(query: Query, q: np.ndarray, stats: Statistics, first: int, w: int, low: float, high: float) -> Segment:
+    """low, high: the means of the query there, or of its envelope."""
     lo, hi = mean_range(query, q, w, low, high)
     slack = 1e-9 * max(1.0, abs(lo), abs(hi))  # a sum in another order never dismisses an answer
     return Segment(first, w, low, high, lo - slack, hi + slack, stats.intervals(w, lo - slack, hi + slack))
@@ -103,12 +110,13 @@ def plan(query: Query, q: np.ndarray, stats: Statistics, widths: tuple[int, ...]
     least = max(1, min((floor(log2(len(q))) - 1) // 2, most))
     usable = [w for w in widths if w in stats.by and w % BASIC == 0]
     cost: dict[tuple[int, int], tuple[float, Segment]] = {}
+    sums = [np.concatenate([[0.0], np.cumsum(disjoint_sums(e))]) for e in envelope(q, query.band(len(q)))]
     for i in range(1, n + 1):
         for w in usable:
             if w // BASIC <= i:
-                s = segment(query, q, stats, (i - w // BASIC) * BASIC, w)
+                low, high = (float(c[i] - c[i - w // BASIC]) / w for c in sums)
+                s = segment(query, q, stats, (i - w // BASIC) * BASIC, w, low, high)
                 cost[i, w] = (log(max(s.intervals, 0.5) / max(stats.total(w), 1)), s)
-    inf = float("inf")
     best = [[0.0] * (n + 1)] + [[inf] * (n + 1) for _ in range(most)]
     took: dict[tuple[int, int], tuple[int, Segment]] = {}
     for j in range(1, most + 1):
@@ -129,3 +137,19 @@ def plan(query: Query, q: np.ndarray, stats: Statistics, widths: tuple[int, ...]
         out.append(s)
         i, j = at, j - 1
     return sorted(out, key=lambda s: (s.intervals, s.first))
+
+
+def tightened(plan: list[Segment], query: Query, q: np.ndarray, stats: Statistics) -> list[Segment]:
+    """The plan with ranges cut, for raw distances, by what the other segments take at least:
+    w times the square of how far the nearest bucket of the index is from the query's mean
+    there. All bounds add up to eps squared at most, so no answer is lost."""
+    if query.normal:
+        return plan
+    takes = [s.w * stats.nearest(s.w, s.low_mean, s.high_mean) ** 2 for s in plan]
+    out = []
+    for s, own in zip(plan, takes, strict=True):
+        left = max(query.eps**2 * (1 + 1e-9) + 1e-9 - (sum(takes) - own), 0.0)
+        cut = segment(query.at(eps=sqrt(left)), q, stats, s.first, s.w, s.low_mean, s.high_mean)
+        lo, hi = max(s.lo, cut.lo), min(s.hi, cut.hi)
+        out.append(replace(s, lo=lo, hi=hi, intervals=stats.intervals(s.w, lo, hi)))
+    return sorted(out, key=lambda s: (s.intervals, s.first))

@@ -363,6 +363,20 @@ def oracle_sql() -> dict[str, str]:
     meta = f"WITH {isl}, meta AS (SELECT CAST(w AS INTEGER) AS w, key, count(*) AS n_int, CAST(sum(rgt - lft + 1) AS BIGINT) AS n_off FROM isl GROUP BY 1, 2)"
     out["index_statistics"] = f"{meta} SELECT w, key, n_int, n_off, CAST(sum(n_int) OVER (PARTITION BY w ORDER BY key) AS BIGINT) AS cum_int, CAST(sum(n_off) OVER (PARTITION BY w ORDER BY key) AS BIGINT) AS cum_off FROM meta"
     out["index_row_summary"] = f"{meta} SELECT w, count(*) AS n_rows, round(avg(n_int), 6) AS average, min(n_int) AS least, max(n_int) AS most FROM meta GROUP BY w"
+    out["index_row_merge"] = f"""WITH RECURSIVE {isl},
+        touch AS (SELECT x.w, least(x.key, y.key) AS key, greatest(x.key, y.key) AS other, count(*) AS j FROM isl x JOIN isl y ON y.w = x.w AND y.lft = x.rgt + 1 AND y.key <> x.key GROUP BY 1, 2, 3),
+        near AS (SELECT w, key, list(other) AS o, list(j) AS j FROM touch GROUP BY 1, 2),
+        n AS (SELECT w, key, count(*) AS own, row_number() OVER (PARTITION BY w ORDER BY key DESC) AS i, avg(count(*)) OVER (PARTITION BY w) AS a FROM isl GROUP BY w, key),
+        step AS (SELECT n.*, coalesce(near.o, []) AS o, coalesce(near.j, []) AS j FROM n LEFT JOIN near USING (w, key)),
+        fold AS (
+            SELECT w, i, key, key AS top, own AS size FROM step WHERE i = 1
+            UNION ALL SELECT w, i, key, CASE WHEN own < 1.2 * a AND alone < 0.8 * (size + own) THEN top ELSE key END, CASE WHEN own < 1.2 * a AND alone < 0.8 * (size + own) THEN alone ELSE own END
+            FROM (SELECT s.w, s.i, s.key, s.own, s.a, f.top, f.size,
+                CAST(f.size + s.own - coalesce(list_sum(list_transform(range(1, len(s.o) + 1), lambda x: CASE WHEN s.o[x] <= f.top THEN s.j[x] ELSE 0 END)), 0) AS BIGINT) AS alone FROM fold f JOIN step s ON s.w = f.w AND s.i = f.i + 1)),
+        own AS (SELECT w, top, lft, rgt, CASE WHEN lft > lag(rgt) OVER (PARTITION BY w, top ORDER BY lft) + 1 THEN 1 ELSE 0 END AS new FROM isl JOIN fold USING (w, key)),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY w, top ORDER BY lft) AS g FROM own),
+        least_of AS (SELECT w, top, min(key) AS key FROM fold GROUP BY 1, 2)
+        SELECT CAST(w AS INTEGER) AS w, key, key * 0.5::DOUBLE AS lo, (top + 1) * 0.5::DOUBLE AS hi, min(lft) AS "left", max(rgt) AS "right" FROM runs JOIN least_of USING (w, top) GROUP BY w, top, key, g"""
     out["index_range_probe"] = f'WITH {_islands_sql((50,))} SELECT key, lft AS "left", rgt AS "right", round(50 * power(greatest(1.25 - (key + 1) * 0.5, key * 0.5 - 1.25, 0), 2), 6) AS lb FROM isl WHERE key BETWEEN -4 AND 6'
     parts = " UNION ALL ".join(
         f"SELECT {i} AS seg, pos - {s.first} AS start, {s.w} * power(greatest({s.low_mean} - (key + 1) * 0.5, key * 0.5 - {s.high_mean}, 0), 2) AS lb FROM win WHERE w = {s.w} AND (key + 1) * 0.5 >= {s.lo} AND key * 0.5 <= {s.hi}"
