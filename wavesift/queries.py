@@ -13,6 +13,7 @@ from wavesift.model import WINDOWS, Query
 from wavesift.operators import answers, index, probe, verify
 from wavesift.plans import planner
 from wavesift.sources import generators, series
+from wavesift.sources.scratch import materialize
 
 OFFSET, SCALE, D = 201, 10_000, 0.5
 #: Line numbers repeat in some orders, so an order of lines takes more columns.
@@ -74,7 +75,7 @@ def _indexed(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         of, m, query = _query(name)
         s = of(spark, sf_dir)
-        rows = index.build(s, (25, 50), D, SCALE)
+        rows = materialize(index.build(s, (25, 50), D, SCALE), "index")
         return _found(Engine(s, index_rows=rows).query(query, offset=OFFSET, length=m).found)
 
     return run
@@ -148,7 +149,8 @@ def index_row_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_row_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.merge_rows(index.build(walk(spark, sf_dir), WINDOWS, D, SCALE)).select("w", "key", "lo", "hi", "left", "right")
+    rows = materialize(index.build(walk(spark, sf_dir), WINDOWS, D, SCALE), "index")
+    return index.merge_rows(rows).select("w", "key", "lo", "hi", "left", "right")
 
 
 def index_range_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
